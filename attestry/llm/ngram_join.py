@@ -4,10 +4,12 @@ A document's set holds its distinct n-grams.  All n-grams have one total order:
 bucket of a frequency table of fixed size (FREQUENCY_BUCKETS counts over all documents) was
 met, then their hash.  Two sets whose Jaccard similarity reaches t share an n-gram within the
 first n - ceil(t * n) + 1 of each, so only those are exchanged.  Per n-gram the documents meet a
-leader instead of each other, which keeps the pairs linear in a group of copies; what a leader
-doesn't connect is compared in a second round, so that no link between components is lost.
-Candidates pass length and positional filters where they meet, and the suffix filter before the
-exact intersection; each pair is verified once.
+leader instead of each other, which keeps the pairs linear in a group of copies.  Members that
+their leader doesn't connect are held against the leader's other members by parity bitmaps, which
+bound the similarity from above; the most similar ones are verified first, and rounds go on until no
+pair that could still join two components is left.  Candidates pass length and positional
+filters where they meet, the bitmap filter before texts move, and the suffix filter before
+the exact intersection; each pair is verified once.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from .kernel import U64, constants, mix64, signed, slices, stored, unsigned, wor
 FREQUENCY_BUCKETS = 1 << 19  # fixed, whatever the input: 512 KiB once it is made into levels
 CHUNK = 4096
 LEADER_SHARE = 128  # members that are compared with one copy of their leader
+FEW = 8  # sets of an n-gram that all meet each other
+FOREST_ROWS = 500_000  # edges that a task joins
+CELL = 256  # members of a leader that are held against as many others in one step
 
 
 def sets_of(texts: pa.Array, n: int, seed: int = 7) -> Iterator[tuple[int, np.ndarray]]:
@@ -61,6 +66,82 @@ def _print(own: np.ndarray) -> int:
     return int(mix64(own * U64(0xA0761D6478BD642F) + U64(0xE7037ED1A0B428DB)).sum(dtype=U64).astype(np.int64))
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """The parity of the set's hashes in each of 4 to 8 cells a member; folding halves keeps it a parity bitmap."""
+    size = max(64, 1 << (4 * len(own) - 1).bit_length()) if len(own) else 64
+    return np.packbits(np.bincount((own & U64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bitmaps folded to width bytes."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, width), axis=1)
+
+
+def _differences(x: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """For each row of maps a lower bound of the symmetric difference with x."""
+    width = min(len(x), maps.shape[1])
+    return np.bitwise_count(_folded(x[None, :], width) ^ _folded(maps, width)).sum(axis=1, dtype=np.int64)
+
+
+def _possible(na, nb, differences, t: Fraction):
+    """Whether the intersection, at most (na + nb - differences) / 2, can be enough."""
+    return (na + nb - differences) >= 2 * _enough(na, nb, t)
+
+
+def _filtered(t: Fraction):
+    """Pairs (a, na, ma, b, nb, mb) that their bitmaps allow."""
+
+    def run(batches):
+        for batch in batches:
+            a, na, ma, b, nb, mb = (batch.column(k).to_pylist() for k in range(6))
+            keep = [bool(_possible(na[i], nb[i], _differences(np.frombuffer(ma[i], np.uint8), np.frombuffer(mb[i], np.uint8)[None, :])[0], t)) for i in range(len(a))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _cell_pairs(t: Fraction, most: int):
+    """Rows of cells (a, i, j), first members that stand apart (role 0), then others: for each apart one the most
+    likely links to other components, and whether there are more of them."""
+
+    def emit(rows):
+        left, right = [r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1]
+        out = []
+        if not left or not right:
+            return out
+        node, n, label = (np.array([r[k] for r in right], np.int64) for k in (4, 5, 6))
+        width = np.array([len(r[7]) for r in right])
+        groups = [(at := np.flatnonzero(width == w), np.frombuffer(b"".join(right[i][7] for i in at), np.uint8).reshape(len(at), -1)) for w in np.unique(width)]
+        for r in left:
+            x, nx, lx, mx = r[4], r[5], r[6], np.frombuffer(r[7], np.uint8)
+            met = np.concatenate([at for at, _ in groups])
+            gaps = np.concatenate([_differences(mx, maps) for _, maps in groups])
+            good = (label[met] != lx) & (np.minimum(n[met], nx) * t.denominator >= np.maximum(n[met], nx) * t.numerator) & _possible(n[met], nx, gaps, t)
+            met, gaps = met[good], gaps[good]
+            order = np.lexsort((node[met], gaps / (n[met] + nx)))[:most]
+            for k in met[order].tolist():
+                out.append((min(x, int(node[k])), max(x, int(node[k])), len(met) > most))
+        return out
+
+    def batch_of(out):
+        columns = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], ["a", "b", "more"])
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if row[:3] != key:
+                    if out := emit(rows):
+                        yield batch_of(out)
+                    key, rows = row[:3], []
+                rows.append(row)
+        if out := emit(rows):
+            yield batch_of(out)
+
+    return run
+
+
 def _summaries(n: int):
     """A row for each document, and this task's share of the frequency table in chunks."""
 
@@ -68,9 +149,10 @@ def _summaries(n: int):
         counts = np.zeros(FREQUENCY_BUCKETS, np.int64)
         for batch in batches:
             size, mark = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            held, waiting = [], 0
+            held, waiting, maps = [], 0, []
             for row, own in sets_of(batch.column(1), n):
                 size[row] = len(own)
+                maps.append(bitmap(own))
                 if len(own):
                     mark[row] = _print(own)
                     held.append(_buckets(own))
@@ -81,7 +163,7 @@ def _summaries(n: int):
             if held:
                 counts += np.bincount(np.concatenate(held), minlength=FREQUENCY_BUCKETS)
             none = pa.nulls(len(batch), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(mark), none, pa.nulls(len(batch), pa.binary())], ["doc_id", "n", "mark", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(mark), none, pa.array(maps, pa.binary())], ["doc_id", "n", "mark", "chunk", "counts"])
         used = np.flatnonzero(counts.reshape(-1, CHUNK).any(axis=1))
         if len(used):
             rows = counts.reshape(-1, CHUNK)[used]
@@ -148,31 +230,62 @@ def _enough(na, nb, t: Fraction):
 
 
 def _stars(t: Fraction):
-    """Rows sorted by n-gram and fingerprint; each set that isn't its n-gram's first meets the first."""
+    """Rows sorted by n-gram and fingerprint to pairs of sets.
+
+    An n-gram of at most FEW sets pairs all of them that pass the filters. With more sets each meets the
+    first one, and is listed as its member whether or not the two pass."""
+
+    def good(n, pos, a, b):
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        ahead = 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1)
+        return (small * t.denominator >= large * t.numerator) & (ahead >= _enough(n[a], n[b], t))
+
+    def pairs(gram, mark, n, pos, open_):
+        """Of whole n-grams; open_: whether the first n-gram goes on from rows that have left, but for its first row."""
+        keep = np.ones(len(gram), bool)  # copies of a set from several tasks stand together
+        keep[1:] = (gram[1:] != gram[:-1]) | (mark[1:] != mark[:-1]) | (n[1:] != n[:-1])
+        gram, mark, n, pos = (x[keep] for x in (gram, mark, n, pos))
+        first = np.concatenate(([True], gram[1:] != gram[:-1]))
+        group = np.cumsum(first) - 1
+        size = np.bincount(group)
+        leader = np.flatnonzero(first)[group]
+        place = np.arange(len(gram)) - leader
+        many = size[group] > FEW
+        if open_:
+            many |= group == 0
+        found = []
+        for step in range(1, FEW):
+            b = np.flatnonzero(~many & (place >= step))
+            if not len(b):
+                break
+            a = b - step
+            ok = good(n, pos, a, b)
+            found.append((a[ok], b[ok], np.ones(ok.sum(), np.int64), np.zeros(ok.sum(), np.int64)))
+        b = np.flatnonzero(many & (place > 0))
+        found.append((leader[b], b, good(n, pos, leader[b], b).astype(np.int64), np.ones(len(b), np.int64)))
+        a, b, passes, member = (np.concatenate(x) for x in zip(*found, strict=True))
+        columns = (mark[a], n[a], mark[b], n[b], passes, member)
+        same = sum((x.view(U64) * w for x, w in zip(columns, constants(11, 6), strict=True)), np.zeros(len(a), U64))
+        once = np.unique(mix64(same), return_index=True)[1]
+        return pa.RecordBatch.from_arrays([pa.array(x[once]) for x in columns], ["la", "na", "lb", "nb", "good", "member"])
 
     def run(batches):
-        last = None  # n-gram, fingerprint, size, place of the leader that is open
+        rest, open_ = tuple(np.zeros(0, np.int64) for _ in range(4)), False
         for batch in batches:
-            gram, mark, n, pos = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
+            rows = tuple(np.concatenate((x, batch.column(k).to_numpy().astype(np.int64))) for k, x in enumerate(rest))
+            gram = rows[0]
             if not len(gram):
                 continue
-            if last is not None:
-                gram, mark, n, pos = (np.concatenate(([x], y)) for x, y in zip(last, (gram, mark, n, pos), strict=True))
-            first = np.concatenate(([True], gram[1:] != gram[:-1]))
-            leader = np.maximum.accumulate(np.where(first, np.arange(len(gram)), 0))
-            last = tuple(x[leader[-1]] for x in (gram, mark, n, pos))
-            other = np.flatnonzero((mark != mark[leader]) | (n != n[leader]))
-            if not len(other):
-                continue
-            a, b = leader[other], other
-            small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            ahead = 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1)
-            good = (small * t.denominator >= large * t.numerator) & (ahead >= _enough(n[a], n[b], t))
-            weights = constants(11, 5)
-            same = sum(x.astype(np.int64).view(U64) * w for x, w in zip((mark[a], n[a], mark[b], n[b], good), weights, strict=True))
-            once = np.unique(mix64(same), return_index=True)[1]
-            rows = (mark[a][once], n[a][once], mark[b][once], n[b][once], good[once].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["la", "na", "lb", "nb", "good"])
+            last = int(np.searchsorted(gram, gram[-1]))
+            if last:  # all n-grams but the last one are whole
+                yield pairs(*(x[:last] for x in rows), open_)
+                open_ = False
+            rest = tuple(x[last:] for x in rows)
+            if len(rest[0]) > 4 * CELL:  # a very frequent n-gram goes in parts, its first set with each
+                yield pairs(*rest, True)
+                rest, open_ = tuple(x[:1] for x in rest), True
+        if len(rest[0]):
+            yield pairs(*rest, open_)
 
     return run
 
@@ -236,31 +349,48 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, n: int, t: Fraction) -> Da
     return laid.mapInArrow(_verified(n, t), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component: its smallest node) for all nodes of edges (a, b), by alternating large and small stars.
+def _forest(batches):
+    """Joins the edges that one task reads: (node, smallest node that they connect it to)."""
+    up: dict[int, int] = {}
 
-    Each step only aggregates minima and joins them back, so a hub needs no gathered list."""
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y] if y in up else y
+        return x
 
-    def mark(e):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = [x for x in up if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["a", "b"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component: its smallest node) for all nodes of the stored edges (a, b).
 
-    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = mark(e)
+    Tasks join the edges they read, FOREST_ROWS each; what several tasks found is laid together by steps
+    of a large and a small star, which only aggregate minima and join them back, so that a hub
+    needs no gathered list, until one task is enough or nothing changes."""
+    before = None
     while True:
+        rows = edges.count()
+        tasks = max(1, -(-rows // FOREST_ROWS))
+        e = edges.coalesce(tasks).mapInArrow(_forest, "a long, b long")
+        if tasks == 1:
+            break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        # small star: every node points to the least of its lower neighbours
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        least = large.groupBy("a").agg(F.min("b").alias("low"))  # small star: to the least of a node's lower neighbours
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x"))
-        e = stored(small.select("x.a", "x.b").where("a <> b").distinct(), "edges")
-        now = mark(e)
+        edges = e = stored(small.select("x.a", "x.b").where("a <> b").distinct(), "edges")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    found = e.groupBy("a").agg(F.min("b").alias("component"))
-    roots = e.select(F.col("b").alias("a")).distinct().withColumn("component", F.col("a"))
-    return found.union(roots).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
+    return e.select("a", "b").union(e.select(F.col("b").alias("a"), "b")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
 def linked_documents(documents: DataFrame, n: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
@@ -284,27 +414,50 @@ def linked_documents(documents: DataFrame, n: int = 5, threshold: Fraction = Fra
     named = size.where("n > 0").groupBy("mark", "n").agg(F.min("doc_id").alias("node"))
 
     laid = docs.select("text").mapInArrow(_prefixes(n, t, table), "gram long, mark long, n int, pos int").repartition("gram").sortWithinPartitions("gram", "mark")
-    met = laid.mapInArrow(_stars(t), "la long, na long, lb long, nb long, good long").groupBy("la", "na", "lb", "nb").agg(F.max("good").alias("good"))
+    met = laid.mapInArrow(_stars(t), "la long, na long, lb long, nb long, good long, member long").groupBy("la", "na", "lb", "nb").agg(F.max("good").alias("good"), F.max("member").alias("member"))
     a, b = (named.select(F.col("mark").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("node").alias(x)) for x in "ab")
-    met = stored(met.join(a, ["la", "na"]).join(b, ["lb", "nb"]).select("a", "na", "b", "nb", "good"), "met")
-    links = stored(verified_pairs(docs, met.where("good = 1").select("a", "b"), n, t), "links")
+    met = stored(met.join(a, ["la", "na"]).join(b, ["lb", "nb"]).select("a", "na", "la", "b", "nb", "lb", "good", "member"), "met")
+    used = met.select(F.col("a").alias("node"), F.col("na").alias("n"), F.col("la").alias("mark")).union(met.select("b", "nb", "lb")).distinct()
+    maps = first.where("chunk is null").select(F.col("doc_id").alias("node"), "n", "mark", F.col("counts").alias("map"))
+    maps = stored(used.join(maps, ["node", "n", "mark"]).dropDuplicates(["node", "n", "mark"]), "bitmaps")
+    ma, mb = (maps.select(F.col("node").alias(x), F.col("mark").alias(f"l{x}"), F.col("map").alias(f"m{x}")) for x in "ab")
+    likely = met.where("good = 1").join(ma, ["a", "la"]).join(mb, ["b", "lb"]).select("a", "na", "ma", "b", "nb", "mb")
+    tested = stored(likely.mapInArrow(_filtered(t), "a long, b long").distinct(), "tested")
+    # Texts of all that may link move once, whatever their number; later rounds read only these.
+    listed = met.where("member = 1")
+    nodes = tested.select("a").union(tested.select("b")).union(listed.select("a")).union(listed.select("b")).distinct()
+    texts = stored(docs.hint("merge").join(nodes.withColumnRenamed("a", "doc_id"), "doc_id").select("doc_id", "text"), "texts")
+    links = stored(verified_pairs(texts, tested, n, t), "links")
     of = stored(components(links), "components")
 
-    # Second round: members that their leader didn't connect meet the leader's other members.
-    label = of.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    members = met.join(label, "b", "left").withColumn("cb", F.coalesce("cb", "b"))
-    members = members.join(label.select(F.col("b").alias("a"), F.col("cb").alias("ca")), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
-    apart = members.where("ca <> cb").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("cb").alias("cx"))
-    fits = f"least(nx, nb) * {t.denominator} >= greatest(nx, nb) * {t.numerator} and cx <> cb"
-    more = apart.join(members.select("a", "b", "nb", "cb"), "a").where(fits).select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
-    more = stored(more, "more")
-    if not more.isEmpty():
-        links = stored(links.unionByName(verified_pairs(docs, more, n, t)), "links")
-        of = stored(components(links), "components")
+    # Members of a leader that are of another component than it.
+    group = listed.select("a", F.col("b").alias("x"), F.col("lb").alias("mark")).union(listed.select("a", "a", "la")).distinct()
+    group = stored(group.join(maps.select(F.col("node").alias("x"), "mark", "n", "map"), ["x", "mark"]).select("a", "x", "n", "map"), "group")
+    most = 2
+    while True:
+        label = of.select(F.col("node").alias("x"), F.col("component").alias("label"))
+        lead = of.select(F.col("node").alias("a"), F.col("component").alias("lead"))
+        known = group.select("a", "x").join(label, "x", "left").join(lead, "a", "left")
+        known = known.select("a", "x", F.coalesce("label", "x").alias("label"), (F.coalesce("label", "x") != F.coalesce("lead", "a")).alias("apart"))
+        cells = known.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("js"), F.ceil(F.count_if("apart") / CELL).alias("is")).where("is > 0")
+        known = group.join(known, ["a", "x"]).join(cells, "a")
+        spot = F.xxhash64("x")
+        left = known.where("apart").select("a", F.pmod(spot, "is").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("js") - 1)).alias("j"), F.lit(0).alias("role"), "x", "n", "label", "map")
+        right = known.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("is") - 1)).alias("i"), F.pmod(spot, "js").alias("j"), F.lit(1).alias("role"), "x", "n", "label", "map")
+        laid = left.union(right).repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "role")
+        found = laid.mapInArrow(_cell_pairs(t, most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+        found = stored(found, "found")
+        fresh = stored(found.select("a", "b").join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            links = stored(links.union(verified_pairs(texts, fresh, n, t)), "links")
+            tested = tested.union(fresh)
+            of = stored(components(links), "components")
+        if found.where("more").isEmpty():
+            break
+        most *= 64
 
     held = size.join(named, ["mark", "n"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
-    held = held.join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
-    return held
+    return held.join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
 def distinct_documents(documents: DataFrame, n: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:

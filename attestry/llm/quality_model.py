@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .kernel import U64, mix64, slices, word_hashes, word_spans
 
 SAMPLE = 20_000  # labelled documents at most that the model is fitted on
-TREES, DEPTH, BINS, RATE, LEAST = 80, 4, 64, 0.15, 20.0
+TREES, DEPTH, BINS, RATE, LEAST = 80, 4, 64, 0.15, 1.0  # LEAST: hessian of a leaf
 
 _CLASSES = {
     "symbols": b"#*$%&|<>", "shouts": b"!", "marks": b".,;:?", "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digits": b"0123456789",
@@ -133,7 +133,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
                     hl = np.cumsum(np.bincount(cell, h[on], len(level) * BINS).reshape(-1, BINS), axis=1)
                     gr, hr = gs[:, None] - gl, hs[:, None] - hl
                     gain = gl**2 / (hl + 1) + gr**2 / (hr + 1) - (gs**2 / (hs + 1))[:, None]
-                    gain[(hl < LEAST / 4) | (hr < LEAST / 4)] = 0
+                    gain[(hl < LEAST) | (hr < LEAST)] = 0
                     for k, c in enumerate(gain[:, : len(cuts[f])].argmax(axis=1) if len(cuts[f]) else []):
                         if gain[k, c] > best[k][0]:
                             best[k] = (gain[k, c], f, int(c))

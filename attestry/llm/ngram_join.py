@@ -120,12 +120,12 @@ def _cell_pairs(t: Fraction, most: int):
             met, gaps = met[good], gaps[good]
             order = np.lexsort((node[met], gaps / (n[met] + nx)))[:most]
             for k in met[order].tolist():
-                out.append((min(x, int(node[k])), max(x, int(node[k])), len(met) > most))
+                out.append((rows[0][0], min(x, int(node[k])), max(x, int(node[k])), len(met) > most))
         return out
 
     def batch_of(out):
         columns = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], ["a", "b", "more"])
+        return pa.RecordBatch.from_arrays([*(pa.array(columns[k], pa.int64()) for k in range(3)), pa.array(columns[3], pa.bool_())], ["lead", "a", "b", "more"])
 
     def run(batches):
         key, rows = None, []
@@ -445,15 +445,16 @@ def linked_documents(documents: DataFrame, n: int = 5, threshold: Fraction = Fra
         left = known.where("apart").select("a", F.pmod(spot, "is").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("js") - 1)).alias("j"), F.lit(0).alias("role"), "x", "n", "label", "map")
         right = known.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("is") - 1)).alias("i"), F.pmod(spot, "js").alias("j"), F.lit(1).alias("role"), "x", "n", "label", "map")
         laid = left.union(right).repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "role")
-        found = laid.mapInArrow(_cell_pairs(t, most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-        found = stored(found, "found")
-        fresh = stored(found.select("a", "b").join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "fresh")
+        found = stored(laid.mapInArrow(_cell_pairs(t, most), "lead long, a long, b long, more boolean"), "found")
+        fresh = stored(found.select("a", "b").distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "fresh")
         if not fresh.isEmpty():
             links = stored(links.union(verified_pairs(texts, fresh, n, t)), "links")
             tested = tested.union(fresh)
             of = stored(components(links), "components")
-        if found.where("more").isEmpty():
+        unsure = found.where("more").select(F.col("lead").alias("a")).distinct()
+        if unsure.isEmpty():
             break
+        group = group.join(unsure, "a", "left_semi")  # only leaders with more candidates than were verified
         most *= 64
 
     held = size.join(named, ["mark", "n"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))

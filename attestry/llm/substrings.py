@@ -28,6 +28,7 @@ from .kernel import U64, mix64, powers, signed, slices, stored, word_hashes, wor
 ROUNDS = 4
 RUN_ROUNDS = {0, 2}
 LONGEST = 8  # a symbol of more words isn't paired further
+SHIFT = 30  # places are packed as the first window << SHIFT | windows after it; no text has 2 ** SHIFT words
 _ROLL = 0x5851F42D4C957F2D
 _UNROLL = pow(_ROLL, -1, 1 << 64)
 
@@ -143,6 +144,27 @@ def picks(words: np.ndarray, rows: np.ndarray, window: int, ranges: Ranges):
     return chosen[first], first, last
 
 
+def _places(row: np.ndarray, name: np.ndarray, content: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """Ranges of equal texts, names and contents as one: (index of the first, ranges, list offsets, packed places).
+
+    A text that repeats itself, above all one with a period, has many such ranges; neighbouring
+    ones become one place.  The lists of ranges that stand alone in their text are empty.
+    """
+    order = np.lexsort((first, content, name, row))
+    r, n, c, f, l = row[order], name[order], content[order], first[order], last[order]
+    new = np.insert((r[1:] != r[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1]), 0, True)
+    heads = np.flatnonzero(new)
+    copies = np.diff(np.append(heads, len(order)))
+    begins = new.copy()
+    begins[1:] |= f[1:] != l[:-1] + 1
+    starts = np.flatnonzero(begins)
+    size = l[np.append(starts[1:], len(order)) - 1] - f[starts]
+    several = np.repeat(copies > 1, copies)[starts]
+    starts, size = starts[several], size[several]
+    offsets = np.searchsorted(starts, np.append(heads, len(order)))
+    return order[heads], copies, offsets, f[starts] << SHIFT | size
+
+
 def _symbols(window: int):
     def run(batches):
         for batch in batches:
@@ -157,9 +179,12 @@ def _symbols(window: int):
                 name, first, last = found
                 content = ranges(first, last + window)
                 row = np.searchsorted(rows, first, side="right") - 1
-                begin = first - rows[row]
-                packed = begin << 20 | (last - first)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(signed(content)), pa.array(ids[lo + row].astype(np.int64)), pa.array(packed)], ["name", "content", "doc_id", "at"])
+                first, last = first - rows[row], last - rows[row]
+                one, copies, offsets, places = _places(row, name, content, first, last)
+                first, last = first[one], last[one]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int64()), mask=pa.array(copies == 1))
+                columns = (signed(name[one]), signed(content[one]), ids[lo + row[one]].astype(np.int64), first << SHIFT | (last - first), copies)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["name", "content", "doc_id", "at", "copies", "places"])
 
     return run
 
@@ -179,7 +204,7 @@ def _windows(window: int):
                     names = np.array([x["name"] for x in own], np.int64)
                     at = np.array([x["at"] for x in own], np.int64)
                     copies = np.array([x["copies"] for x in own], np.int64)
-                    first, size = at >> 20, (at & ((1 << 20) - 1)) + 1
+                    first, size = at >> SHIFT, (at & ((1 << SHIFT) - 1)) + 1
                     begin = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                     fits = begin + rows[i - lo] + window <= rows[i - lo + 1]  # else of another text with this doc_id
                     name, begin = np.repeat(names, size)[fits], begin[fits]
@@ -233,10 +258,10 @@ KEY, RANGES = "attestry_key", "attestry_ranges"
 def repeated_ranges(documents: DataFrame, window: int = 35) -> DataFrame:
     """(key, ranges): the windows of a document, by first and last start, whose words also start elsewhere."""
     docs = keyed(documents).select(KEY, "text")
-    found = docs.mapInArrow(_symbols(window), "name long, content long, doc_id long, at long")
-    again = found.groupBy("name").count().where("count > 1").select("name")
+    found = docs.mapInArrow(_symbols(window), "name long, content long, doc_id long, at long, copies long, places array<long>")
+    again = found.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name")
     shared = stored(found.join(again, "name", "left_semi"), "symbols")
-    kinds = shared.groupBy("name", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "at")).alias("one"))
+    kinds = shared.groupBy("name", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "at")).alias("one"))
     kinds = stored(kinds.select("name", "content", "copies", "one.doc_id", "one.at"), "kinds")
     whole = shared.join(kinds.where("copies > 1").select("name", "content"), ["name", "content"], "left_semi")
     # Where the ranges of a name differ, one of each kind is compared with the others window by window.
@@ -245,7 +270,9 @@ def repeated_ranges(documents: DataFrame, window: int = 35) -> DataFrame:
     windows = stored(docs.join(asked, KEY).mapInArrow(_windows(window), "name long, window long, doc_id long, begin long, copies long"), "windows")
     twice = windows.groupBy("name", "window").count().where("count > 1").select("name", "window")
     single = windows.where("copies = 1").join(twice, ["name", "window"], "left_semi")
-    ranges = whole.select("doc_id", F.shiftrightunsigned("at", 20).alias("first"), (F.shiftrightunsigned("at", 20) + F.col("at").bitwiseAND((1 << 20) - 1)).alias("last"))
+    whole = whole.select("doc_id", F.explode(F.coalesce("places", F.array("at"))).alias("at"))
+    first = F.shiftrightunsigned("at", SHIFT)
+    ranges = whole.select("doc_id", first.alias("first"), (first + F.col("at").bitwiseAND((1 << SHIFT) - 1)).alias("last"))
     ranges = ranges.unionByName(single.select("doc_id", F.col("begin").alias("first"), F.col("begin").alias("last"))).distinct()
     return ranges.groupBy(F.col("doc_id").alias(KEY)).agg(F.collect_list(F.struct("first", "last")).alias(RANGES))
 

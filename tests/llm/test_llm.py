@@ -70,6 +70,7 @@ def test_bitmap_bounds_from_below():
 
 def test_repeated_windows(spark, texts):
     texts = texts + ["x " * 90, "p q " * 50, "start " + " ".join("abcdefghijklmnop" * 3) + " end", " ".join("abcdefghijklmnop" * 3)]
+    texts += [f"{k} lead " + "u v " * (60 + k) + f"cut {k} " + "u v " * 40 for k in range(3)] + ["1 2 3 " * 30 + "u v w"]
     got = sorted(tuple(r) for r in substrings.repeat_digests(table(spark, texts)).collect())
     starts = collections.Counter(tuple(x[k : k + 35]) for x in map(words, texts) for k in range(len(x) - 34))
     want = []

@@ -53,3 +53,11 @@ def section_changes(before: DataFrame, after: DataFrame, planned: DataFrame) ->
     x = after.join(b, F.col("heading") == F.col("h"), "full_outer").join(planned.select("heading").distinct().withColumn("p", F.lit(True)), "heading", "left")
     what = F.when(F.col("h").isNull(), "added").when(F.col("heading").isNull(), "removed").when((F.col("body") != F.col("old")) & F.col("p").isNull(), "unplanned")
     return x.select(F.coalesce("heading", "h").alias("heading"), what.alias("what")).where("what is not null")
+
+
+def tier_gaps(rows: DataFrame, tiers: list[str]) -> DataFrame:
+    """id, marked and missing tiers of rows marked at a tier but not at every stricter one; tiers are boolean columns, mildest first, null is no mark."""
+    named = F.array(*(F.struct(F.lit(t).alias("tier"), F.coalesce(F.col(t), F.lit(False)).alias("on")) for t in tiers))
+    above = F.filter("named", lambda x: ~x.on & F.exists(F.slice("named", 1, F.array_position(F.transform("named", lambda y: y.tier), x.tier).cast("int")), lambda y: y.on))
+    names = lambda c: F.array_join(F.transform(c, lambda x: x.tier), ", ")
+    return rows.withColumn("named", named).select("id", names(F.filter("named", lambda x: x.on)).alias("marked"), names(above).alias("missing")).where("missing <> ''")

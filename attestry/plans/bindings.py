@@ -253,6 +253,20 @@ def dedup_ids(t):
     return ledger.unique_ids(t.part.select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("id")))
 
 
+@query("""WITH r AS (SELECT p_partkey AS id, p_size % 2 = 0 AS low, p_size % 3 = 0 AS moderate, p_size % 5 <> 0 AS high FROM part)
+SELECT id, concat_ws(', ', CASE WHEN low THEN 'low' END, CASE WHEN moderate THEN 'moderate' END, CASE WHEN high THEN 'high' END) AS marked,
+concat_ws(', ', CASE WHEN low AND NOT moderate THEN 'moderate' END, CASE WHEN (low OR moderate) AND NOT high THEN 'high' END) AS missing
+FROM r WHERE (low AND NOT moderate) OR ((low OR moderate) AND NOT high)""")
+def gov_nesting(t):
+    return lint.tier_gaps(t.part.selectExpr("p_partkey AS id", "p_size % 2 = 0 AS low", "p_size % 3 = 0 AS moderate", "p_size % 5 <> 0 AS high"), ["low", "moderate", "high"])
+
+
+@query("""SELECT conv_id, turn, substr(sha256(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 1, 12) AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
+def qst_digest(t):
+    stripped = F.regexp_replace("text", r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "")
+    return t.conversations.where("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", keys.digest(stripped).alias("question"))
+
+
 _PARAMS = """WITH p AS (SELECT p_partkey AS key, p_brand AS label FROM part), d AS (SELECT l_partkey AS key, max(CASE WHEN l_quantity > 20 THEN l_returnflag ELSE '' END) AS value, min(CASE WHEN l_tax > 0.02 THEN 'x' ELSE '' END) AS rationale
 FROM lineitem WHERE l_discount > 0.08 GROUP BY 1 UNION ALL SELECT -1, 'v', 'r')
 """

@@ -68,6 +68,11 @@ def test_premises_and_sections(spark):
     assert rows(lint.section_changes(old, new, spark.createDataFrame([], "heading string"))) == [("A", "unplanned"), ("B", "removed"), ("C", "added")]
 
 
+def test_tier_gaps(spark):
+    r = spark.createDataFrame([("a", True, None, True), ("b", None, True, True), ("c", None, None, None), ("d", True, True, True), ("e", False, True, False)], "id string, low boolean, moderate boolean, high boolean")
+    assert rows(lint.tier_gaps(r, ["low", "moderate", "high"])) == [("a", "low, high", "moderate"), ("e", "moderate", "high")]
+
+
 def test_catalog_files(spark, tmp_path):
     c = [{"control_id": "AC-2", "framework": "N", "baseline": "LOW MODERATE", "enhancements": [{"enhancement_id": "AC-2(3)", "baseline": "HIGH"}]}, {"control_id": "IR-3", "framework": "N", "baseline": "HIGH"}]
     (tmp_path / "c.json").write_text(json.dumps(c))

@@ -1,9 +1,9 @@
 """Packing of tokenised documents into sequences of fixed length.
 
 Tokenising maps each document to pieces of at most the sequence length.  The pieces are dealt to
-groups by a hash; within a group a best-fit start is improved by local search: moves, one-for-one
-and two-for-one exchanges between underfull bins that increase the sum of squared fills, until
-the least filled bins are empty.  Groups have about GROUP pieces whatever the input, so a task's
+groups by a hash; within a group a best-fit start is improved by local search: moves, and exchanges of
+one for one, one for two and two for one piece between underfull bins that increase the sum of squared
+fills, until none is left.  Groups have about GROUP pieces whatever the input, so a task's
 memory is bounded and a group costs about one unfilled sequence in a few thousand.
 """
 
@@ -16,14 +16,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import stored
 from .token_count import PATTERN, byte_letters
 
 GROUP = 4096
-ROUNDS = 4  # passes of the local search over a group's underfull bins
 
 
 @lru_cache(maxsize=2)
@@ -82,55 +81,121 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def improve(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Local search between underfull bins; each step makes a bin at least as full as its partner fuller."""
-    fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
-    where = np.empty(len(sizes), np.int64)
-    for b, held in enumerate(bins):
-        where[held] = b
-    for _ in range(ROUNDS):
+    """Local search between underfull bins, until a pass over them changes nothing.
+
+    Each step makes a bin at least as full as its partner fuller. The sum of squared fills rises with it, so the search ends."""
+    full = [b for b in bins if b and sizes[b].sum() >= capacity]
+    under = [b for b in bins if b and sizes[b].sum() < capacity]
+    if not under:
+        return full
+    of = np.concatenate(under)  # full bins take no part, so items and bins are numbered anew without them
+    ends = np.cumsum([len(b) for b in under])
+    search = Search(sizes[of].astype(np.int64), [list(range(e - len(b), e)) for b, e in zip(under, ends.tolist(), strict=True)], capacity)
+    while search.step_all():
+        pass
+    return full + [[int(of[i]) for i in b] for b in search.bins if b]
+
+
+class Search:
+    """Bins that were underfull, with an index of the sums of their pairs."""
+
+    def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int):
+        self.sizes, self.bins, self.capacity = sizes, bins, capacity
+        self.fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
+        self.where = np.empty(len(sizes), np.int64)
+        self.at = np.arange(len(bins))
+        self.next_sum = np.empty((len(bins), capacity + 1), np.int32)  # the least sum of two items of the bin from a number on
+        for b, held in enumerate(bins):
+            self.where[held] = b
+            self.index(b)
+
+    def sums(self, b: int) -> np.ndarray:
+        """The distinct sums of two of the bin's items."""
+        own, times = np.unique(self.sizes[self.bins[b]], return_counts=True)
+        both = np.add.outer(own, own)[np.triu_indices(len(own), 1)]
+        return np.unique(np.concatenate((both, 2 * own[times > 1])))
+
+    def index(self, b: int) -> None:
+        found = self.sums(b)
+        row = self.next_sum[b]
+        row[:] = self.capacity + 1
+        row[found] = found
+        row[:] = np.minimum.accumulate(row[::-1])[::-1]
+
+    def pair(self, b: int, total: int) -> tuple[int, int]:
+        """Two items of the bin whose sizes make total."""
+        seen: dict[int, int] = {}
+        for y in self.bins[b]:
+            if (z := seen.get(total - int(self.sizes[y]))) is not None:
+                return z, y
+            seen[int(self.sizes[y])] = y
+        raise KeyError(total)
+
+    def put(self, s: int, d: int, there: tuple[int, ...], back: tuple[int, ...] = ()) -> None:
+        for item in there:
+            _put(item, s, d, self.bins, self.fill, self.where, self.sizes)
+        for item in back:
+            _put(item, d, s, self.bins, self.fill, self.where, self.sizes)
+        self.index(s)
+        self.index(d)
+
+    def able(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        room = self.capacity - self.fill
+        able = (room > 0) & (self.fill >= self.fill[s]) & (self.fill > 0)
+        able[s] = False
+        return able, room
+
+    def step_all(self) -> bool:
+        """A pass, the least filled bins first; whether it changed anything."""
         changed = False
-        under = np.flatnonzero((fill > 0) & (fill < capacity))
-        for s in under[np.argsort(fill[under], kind="stable")].tolist():
-            for x in sorted(bins[s], key=lambda i: -sizes[i]):
-                room = capacity - fill
-                able = (room > 0) & (fill >= fill[s]) & (fill > 0)
-                able[s] = False
-                size = int(sizes[x])
-                fits = np.flatnonzero(able & (room >= size))
-                if len(fits):  # move
-                    _put(x, s, int(fits[np.argmin(room[fits])]), bins, fill, where, sizes)
-                    changed = True
-                    continue
-                gain = size - sizes
-                items = np.flatnonzero(able[where] & (gain > 0) & (gain <= room[where]))
-                if len(items):  # one for one: the bin gets the larger item
-                    y = int(items[np.argmax(gain[items])])
-                    d = int(where[y])
-                    _put(x, s, d, bins, fill, where, sizes)
-                    _put(y, d, s, bins, fill, where, sizes)
-                    changed = True
-                    continue
-                pair = _pair_for(x, s, bins, fill, sizes, able, room)
-                if pair:  # one for two smaller ones
-                    d, y, z = pair
-                    _put(x, s, d, bins, fill, where, sizes)
-                    _put(y, d, s, bins, fill, where, sizes)
-                    _put(z, d, s, bins, fill, where, sizes)
-                    changed = True
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _pair_for(x, s, bins, fill, sizes, able, room):
-    """(bin, y, z): two items of one bin that are smaller than x together by at most the bin's room."""
-    for d in np.flatnonzero(able)[:64].tolist():  # tried per item; the others get their turn with other items
-        held, least = bins[d], int(sizes[x]) - int(room[d])
-        for k, y in enumerate(held):
-            for z in held[k + 1 :]:
-                if least <= sizes[y] + sizes[z] < sizes[x]:
-                    return d, y, z
-    return None
+        open_ = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+        for s in open_[np.argsort(self.fill[open_], kind="stable")].tolist():
+            for x in sorted(self.bins[s], key=lambda i: -self.sizes[i]):
+                changed |= self.one(s, x)
+            while self.two(s):
+                changed = True
+        return changed
+
+    def one(self, s: int, x: int) -> bool:
+        """Moves x out of s, or exchanges it for one or two smaller items of another bin."""
+        able, room = self.able(s)
+        size = int(self.sizes[x])
+        fits = np.flatnonzero(able & (room >= size))
+        if len(fits):
+            self.put(s, int(fits[np.argmin(room[fits])]), (x,))
+            return True
+        gain = size - self.sizes
+        items = np.flatnonzero(able[self.where] & (gain > 0) & (gain <= room[self.where]))
+        if len(items):
+            y = int(items[np.argmax(gain[items])])
+            self.put(s, int(self.where[y]), (x,), (y,))
+            return True
+        total = self.next_sum[self.at, np.maximum(size - room, 0)]
+        bins = np.flatnonzero(able & (total < size))
+        if len(bins):
+            d = int(bins[np.argmin(total[bins])])
+            self.put(s, d, (x,), self.pair(d, int(total[d])))
+            return True
+        return False
+
+    def two(self, s: int) -> bool:
+        """Exchanges two items of s for one of another bin that is smaller than both together."""
+        found = self.sums(s)
+        able, room = self.able(s)
+        items = np.flatnonzero(able[self.where])
+        if not len(found) or not len(items):
+            return False
+        items = items[np.lexsort((items, -room[self.where[items]], self.sizes[items]))]
+        items = items[np.unique(self.sizes[items], return_index=True)[1]]  # of each size the one in the emptiest bin
+        gain = found[:, None] - self.sizes[items][None, :]
+        gain[gain > room[self.where[items]][None, :]] = 0
+        best = int(np.argmax(gain))
+        k, n = divmod(best, len(items))
+        if gain[k, n] <= 0:
+            return False
+        y = int(items[n])
+        self.put(s, int(self.where[y]), self.pair(s, int(found[k])), (y,))
+        return True
 
 
 def _put(item, source, target, bins, fill, where, sizes) -> None:
@@ -174,6 +239,9 @@ def packed_pieces(documents: DataFrame, vocabulary: str, length: int = 1024, end
     shape = "piece int, start long, length long, ids_crc32 long"
     pieces = stored(docs.mapInArrow(_pieces(vocabulary, length, end, len(keys)), f"{held}, {shape}"), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
-    dealt = pieces.select(F.pmod(F.xxhash64(*(f"key{n}" for n in range(len(keys))), "piece"), F.lit(groups)).alias("attestry_group"), "*")
+    # Equal pieces of one key are counted, so that a key of many rows is dealt to all groups.
+    own = [*(f"key{n}" for n in range(len(keys))), "piece", "ids_crc32"]
+    copy = F.row_number().over(Window.partitionBy(*own).orderBy("start", "length"))
+    dealt = pieces.withColumn("copy", copy).select(F.pmod(F.xxhash64(*own, "copy"), F.lit(groups)).alias("attestry_group"), *pieces.columns)
     names = ", ".join(f"`{k}` long" for k in keys)
     return dealt.groupBy("attestry_group").applyInArrow(_packed(length, len(keys), list(keys)), f"{names}, {shape}, sequence_id long, offset long")

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import os
 import random
 import zlib
@@ -132,6 +133,30 @@ def test_local_search_empties_a_bin():
     assert len(packing.improve(sizes, [[0], [1], [2, 3, 4]], 10)) == 2
 
 
+def test_local_search_leaves_no_exchange():
+    rng = np.random.default_rng(4)
+    for capacity in (100, 1024):
+        for _ in range(4):
+            sizes = rng.integers(capacity // 5, capacity // 2, 300)
+            bins = packing.improve(sizes, packing.best_fit(sizes, capacity), capacity)
+            assert sorted(i for b in bins for i in b) == list(range(300))
+            own = [[0, *sizes[b].tolist(), *(int(sizes[x] + sizes[y]) for x, y in itertools.combinations(b, 2))] for b in bins]
+            singles = [1 + len(b) for b in bins]  # 0 and the items; pairs follow
+            for s, d in itertools.permutations(range(len(bins)), 2):
+                room = capacity - int(sizes[bins[d]].sum())
+                if room and room <= capacity - int(sizes[bins[s]].sum()):
+                    steps = ((x, y) for i, x in enumerate(own[s]) for j, y in enumerate(own[d]) if i < singles[s] or 0 < j < singles[d])
+                    assert not any(0 < x - y <= room for x, y in steps)
+
+
+def test_repeated_ids_fill_no_single_group(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 64)
+    docs = spark.createDataFrame([(None, "one text" if k % 2 else f"text {k}") for k in range(640)], "doc_id long, text string")
+    packed = packing.packed_pieces(docs, VOCABULARY).collect()
+    groups = collections.Counter(r.sequence_id >> 24 for r in packed)
+    assert len(packed) == 640 and len(groups) == 10 and max(groups.values()) < 128
+
+
 def test_token_counts(spark, texts):
     t = Tokenizer.from_file(VOCABULARY)
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.token_counts(table(spark, texts), VOCABULARY).collect()}

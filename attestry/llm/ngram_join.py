@@ -413,7 +413,8 @@ def linked_documents(documents: DataFrame, n: int = 5, threshold: Fraction = Fra
     size = first.where("chunk is null").select("doc_id", "n", "mark")
     named = size.where("n > 0").groupBy("mark", "n").agg(F.min("doc_id").alias("node"))
 
-    laid = docs.select("text").mapInArrow(_prefixes(n, t, table), "gram long, mark long, n int, pos int").repartition("gram").sortWithinPartitions("gram", "mark")
+    # Sets of rows without an id have no node: none of them may lead an n-gram's group.
+    laid = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(n, t, table), "gram long, mark long, n int, pos int").repartition("gram").sortWithinPartitions("gram", "mark")
     met = laid.mapInArrow(_stars(t), "la long, na long, lb long, nb long, good long, member long").groupBy("la", "na", "lb", "nb").agg(F.max("good").alias("good"), F.max("member").alias("member"))
     a, b = (named.select(F.col("mark").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("node").alias(x)) for x in "ab")
     met = stored(met.join(a, ["la", "na"]).join(b, ["lb", "nb"]).select("a", "na", "la", "b", "nb", "lb", "good", "member"), "met")

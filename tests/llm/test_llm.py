@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -60,6 +61,17 @@ def test_similar_documents(spark, texts):
     assert got == {i: (len(s), u) for i, (s, u) in enumerate(zip(sets, up, strict=True))}
 
 
+def test_null_id_leads_no_group(spark):
+    body = " ".join(f"w{k}" for k in range(60))
+    texts = [f"{body} end{k}" for k in range(14)]
+    prints = [ngram_join._print(own) for _, own in ngram_join.sets_of(pa.array(texts), 5)]
+    led = prints.index(min(prints))
+    rows = [(None if k == led else k, t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in ngram_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ids = sorted(k for k, _ in rows if k is not None)
+    assert got == {None: None} | dict.fromkeys(ids, ids[0])
+
+
 def test_bitmap_bounds_from_below():
     rng = np.random.default_rng(1)
     for _ in range(200):

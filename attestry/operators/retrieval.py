@@ -75,14 +75,21 @@ def rerank(passages: DataFrame, scores: DataFrame) -> DataFrame:
     return x.select("query", "id", F.row_number().over(Window.partitionBy("query").orderBy("by", "rank", "id")).alias("new_rank"))
 
 
-def quoted(quotes: DataFrame, texts: DataFrame, width: int = 60) -> DataFrame:
-    """(quote, id) where a text holds the quote's first width characters word for word.
+def quoted(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(quote, id) where a text holds the whole quote word for word.
 
-    Quotes and texts meet on the quote's first six words, so that only these candidates are searched."""
+    Quotes and texts meet on up to four of the quote's words from its second to its last but one, which are whole
+    words of the text too, so that only these candidates are searched.  Quotes of one or two words meet every text."""
     words = lambda c: F.regexp_extract_all(c, F.lit("([^ \\t\\r\\n]+)"), 1)
-    gram = lambda w, i: F.concat_ws(" ", F.slice(w, i, 4))
-    q = quotes.withColumn("w", words(F.col("text"))).where(F.size("w") >= 6).select("quote", F.substring("text", 1, width).alias("part"), gram(F.col("w"), 2).alias("gram"))
-    t = texts.withColumn("w", words(F.col("text"))).where(F.size("w") >= 4)
-    t = t.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: gram(F.col("w"), i)))).alias("gram"))
-    near = t.join(q, "gram").select("id", "quote", "part").distinct()
-    return near.join(texts, "id").where(F.col("text").contains(F.col("part"))).select("quote", "id")
+    gram = lambda w, i, n: F.concat_ws(" ", F.slice(w, i, n))
+    q = quotes.select("quote", F.col("text").alias("part"), words(F.col("text")).alias("w")).withColumn("n", F.least(F.lit(4), F.size("w") - 2))
+    short = q.where("n < 1").select("quote", "part")
+    q = q.where("n >= 1").select("quote", "part", "n", gram(F.col("w"), F.lit(2), F.col("n")).alias("gram"))
+    lengths = q.agg(F.collect_set("n").alias("lengths"))
+    t = texts.select("id", words(F.col("text")).alias("w")).join(F.broadcast(lengths))
+    starts = lambda n: F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+    grams = F.flatten(F.transform("lengths", lambda n: F.transform(starts(n), lambda i: gram(F.col("w"), i, n))))
+    near = t.select("id", F.explode(F.array_distinct(grams)).alias("gram")).join(q, "gram").select("id", "quote", "part").distinct()
+    found = near.join(texts, "id").where(F.col("text").contains(F.col("part")))
+    every = texts.join(F.broadcast(short), F.col("text").contains(F.col("part")))
+    return found.select("quote", "id").unionByName(every.select("quote", "id"))

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from attestry.functions import keys
-from attestry.operators import coverage, crosswalk, documents, lint
+from attestry.operators import coverage, crosswalk, documents, lint, retrieval
 from attestry.sources import catalogs
 from attestry.streaming.ledger import windowed_calls
 
@@ -73,6 +73,13 @@ def test_tier_gaps(spark):
     assert rows(lint.tier_gaps(r, ["low", "moderate", "high"])) == [("a", "low, high", "moderate"), ("e", "moderate", "high")]
 
 
+def test_quotes_are_held_whole(spark):
+    long = "the agency shall review every account of its systems once in each year and shall report what it finds"
+    q = spark.createDataFrame([(1, long), (2, "review every account of"), (3, "every account of its systems"), (4, "of its systems"), (5, "each year"), (6, "every account of her systems"), (7, None)], "quote long, text string")
+    t = spark.createDataFrame([(1, f"x {long}."), (2, long[:80] + " or so"), (3, "preview every account officially"), (4, "a"), (5, None)], "id long, text string")
+    assert rows(retrieval.quoted(q, t)) == [(1, 1), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2), (4, 1), (4, 2), (5, 1), (5, 2)]
+
+
 def test_catalog_files(spark, tmp_path):
     c = [{"control_id": "AC-2", "framework": "N", "baseline": "LOW MODERATE", "enhancements": [{"enhancement_id": "AC-2(3)", "baseline": "HIGH"}]}, {"control_id": "IR-3", "framework": "N", "baseline": "HIGH"}]
     (tmp_path / "c.json").write_text(json.dumps(c))

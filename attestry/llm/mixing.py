@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import stored
@@ -110,23 +110,26 @@ def _plan(sized: DataFrame, ratio: float, weights: tuple[float, ...]) -> list[di
     return [{"source": r.source, "source_size": r["size"], "target": t, "number": i} for i, (r, t) in enumerate(zip(rows, goal, strict=True))]
 
 
-def draws(sized: DataFrame, plan: list[dict], seed: int = 0) -> DataFrame:
-    """row, doc_id, epoch, block, first (word), taken (words), shard and place of all draws from sized (row, doc_id, source, size)."""
+def draws(sized: DataFrame, plan: list[dict], seed: int = 0, ties: tuple[str, ...] = ()) -> DataFrame:
+    """row, doc_id, epoch, block, first (word), taken (words), shard and place of all draws from sized (row, doc_id, source, size).
+
+    ties are columns of sized that order rows of one doc_id before their row does, and deal out rows with a null id."""
     spark = sized.sparkSession
     quotas = []
     for p in plan:
         whole = min(round(p["target"]), 2 * p["source_size"])
         quotas += [(p["number"], p["source"], e, q) for e, q in ((0, min(whole, p["source_size"])), (1, max(0, whole - p["source_size"]))) if q]
     kinds = spark.createDataFrame([(k, *q) for k, q in enumerate(quotas)], "kind int, number int, source string, epoch int, quota long")
-    blocks = sized.where("size > 0").join(F.broadcast(kinds), sized.source.eqNullSafe(kinds.source)).select("row", "doc_id", "size", "kind", "epoch", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))).alias("block"))
-    blocks = blocks.select("*", (F.col("block") * BLOCK).alias("first"), F.least(F.lit(BLOCK), F.col("size") - F.col("block") * BLOCK).alias("words"), F.xxhash64(F.lit(seed), "epoch", "doc_id", "block").alias("order"))
+    blocks = sized.where("size > 0").join(F.broadcast(kinds), sized.source.eqNullSafe(kinds.source)).select("row", "doc_id", *ties, "size", "kind", "epoch", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))).alias("block"))
+    unnamed = [F.when(F.col("doc_id").isNull(), F.col(c)) for c in ties]  # a null changes no hash
+    blocks = blocks.select("*", (F.col("block") * BLOCK).alias("first"), F.least(F.lit(BLOCK), F.col("size") - F.col("block") * BLOCK).alias("words"), F.xxhash64(F.lit(seed), "epoch", "doc_id", *unnamed, "block").alias("order"))
     bits = max(0, (max(1, sized.agg(F.sum(F.ceil(F.col("size") / BLOCK))).first()[0] or 0) // BUCKET_BLOCKS).bit_length())
     blocks = blocks.withColumn("bucket", F.shiftrightunsigned("order", 64 - bits) if bits else F.lit(0).cast("long"))
     # Permuted ranks: a running count within small buckets of the order, from the counts of the buckets before.
     counts = blocks.groupBy("kind", "bucket").agg(F.sum("words").alias("w"), F.count("*").alias("n"))
     earlier = Window.partitionBy("kind").orderBy("bucket")
     counts = counts.select("kind", "bucket", (F.sum("w").over(earlier) - F.col("w")).alias("w0"), (F.sum("n").over(earlier) - F.col("n")).alias("n0"))
-    order = Window.partitionBy("kind", "bucket").orderBy("order", "doc_id", "block", "row")
+    order = Window.partitionBy("kind", "bucket").orderBy("order", "doc_id", "block", *ties, "row")
     ranked = blocks.withColumns({"w": F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(order)}).join(counts, ["kind", "bucket"])
     start = F.col("w0") + F.col("w") - F.col("words")
     ranked = ranked.select("kind", (F.col("n0") + F.col("n") - 1).alias("rank"), "row", "doc_id", "epoch", "block", "first", F.least("words", F.col("quota") - start).alias("taken")).where("taken > 0")
@@ -139,9 +142,9 @@ def draws(sized: DataFrame, plan: list[dict], seed: int = 0) -> DataFrame:
     return dealt.select("row", "doc_id", "epoch", "block", "first", "taken", "shard", (F.row_number().over(local) - 1).alias("place"))
 
 
-def _sized(documents: DataFrame) -> DataFrame:
+def _sized(documents: DataFrame, row: Column | None = None, *more: Column) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    return documents.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *more)
 
 
 def mixture(documents: DataFrame, ratio: float = 1.5, weights: tuple[float, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
@@ -164,7 +167,7 @@ def mixture(documents: DataFrame, ratio: float = 1.5, weights: tuple[float, ...]
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("n_shards", F.lit(0)).alias("n_shards"), "first_shard")
 
 
-DRAWN, SIZE = "attestry_drawn", "attestry_size"
+DRAWN, ROW = "attestry_drawn", "attestry_row"
 
 
 def _written(columns: list[str], text: int):
@@ -190,14 +193,14 @@ def mixed_documents(documents: DataFrame, ratio: float = 1.5, weights: tuple[flo
     """The mix as rows of documents: a row for each epoch in which a document is drawn, with the drawn words as text.
 
     A text that is drawn whole stays as it is; of others the drawn blocks follow each other, joined
-    by one space.  Rows of which nothing is drawn go.  One row is used for each doc_id; null ids go.
+    by one space.  Rows of which nothing is drawn go.  Rows with a null or repeated id are drawn from one by
+    one; they are ordered by their texts, so reruns agree but for which of two equal texts of one id is drawn.
     """
     columns = documents.columns
-    sized = _sized(documents).where("doc_id is not null").groupBy("doc_id").agg(F.min("source").alias("source"), F.max("size").alias("size"), F.min("row").alias("row"))
-    sized = stored(sized, "sized")
+    held = stored(documents.withColumn(ROW, F.monotonically_increasing_id()), "held")
+    sized = stored(_sized(held, F.col(ROW), F.xxhash64(F.col("text").cast("string")).alias("mark")), "sized")
     plan = _plan(sized, ratio, weights)
     if not plan:
         return documents.limit(0)
-    drawn = draws(sized, plan, seed).groupBy(F.col("doc_id").alias(SIZE)).agg(F.collect_list(F.struct("epoch", "first", "taken")).alias(DRAWN))
-    held = documents.join(drawn, F.col("doc_id").cast("long") == F.col(SIZE)).dropDuplicates(["doc_id"]).select(*columns, DRAWN)
-    return held.mapInArrow(_written(columns, columns.index("text")), documents.schema)
+    drawn = draws(sized, plan, seed, ("mark",)).groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("epoch", "first", "taken")).alias(DRAWN))
+    return held.join(drawn, ROW).select(*columns, DRAWN).mapInArrow(_written(columns, columns.index("text")), documents.schema)

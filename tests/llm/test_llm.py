@@ -115,6 +115,21 @@ def test_mixing(spark, texts):
     assert {k: v for k, v in mixed.items()} == {r.doc_id: r.taken for r in rows if r.taken}
 
 
+def test_mixing_draws_from_every_row(spark):
+    rng = random.Random(3)
+    rows = [([None, 7, k][k % 3], " ".join(f"r{k}w{n}" for n in range(rng.randint(1, 900))), "en", "ab"[k % 2], 0, "k", f"row {k}", 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    source, taken, of = {r[6]: r[3] for r in rows}, collections.Counter(), {r[6]: r for r in rows}
+    mixed = mixing.mixed_documents(docs).collect()
+    for r in mixed:
+        assert r.doc_id == of[r.name][0] and len(words(r.text)) and set(words(r.text)) <= set(words(of[r.name][1]))
+        taken[source[r.name]] += len(words(r.text))
+    goal = {x: mixing.targets([sum(len(words(r[1])) for r in rows if r[3] == s) for s in "ab"], [5, 2], 1.5 * sum(len(words(r[1])) for r in rows))[k] for k, x in enumerate("ab")}
+    assert all(abs(taken[x] - goal[x]) <= 1 for x in "ab")
+    again = mixing.mixed_documents(spark.createDataFrame(rows[::-1], SCHEMA).repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixed))
+
+
 def test_splitting_tree_keeps_quotas():
     tree = mixing.Tree([700, 0, 311], 7, 3)
     shard = {k: tree.shard(np.full(n, k), np.arange(n)) for k, n in ((0, 700), (2, 311))}

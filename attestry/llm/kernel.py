@@ -47,8 +47,7 @@ _SEPARATOR[list(WORD_SEPARATORS)] = True
 _BYTE = constants(1, 256)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
-_BASE = 0x2545F4914F6CDD1D
-_POWERS = powers(_BASE, 64)
+_PLACES = constants(2, 64)  # a weight for each place in a word: no pattern of letters cancels, as it may with powers of one base
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -84,13 +83,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _hash_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    global _POWERS
+    global _PLACES
     lengths = ends - starts
-    if len(_POWERS) < lengths.max():
-        _POWERS = powers(_BASE, int(lengths.max()) * 2)
+    if len(_PLACES) < lengths.max():
+        _PLACES = constants(2, int(lengths.max()) * 2)
     at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     place = np.arange(lengths.sum()) - np.repeat(at, lengths)
-    values = table[data[np.repeat(starts, lengths) + place]] * _POWERS[place]
+    values = table[data[np.repeat(starts, lengths) + place]] * _PLACES[place]
     return mix64(np.add.reduceat(values, at) + lengths.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -107,9 +106,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all run on one machine a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="attestry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -124,7 +125,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.attestry_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.attestry_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -10,8 +10,9 @@ of words that decided it: a window that holds this interval holds the symbol whe
 Every window of the text picks one symbol by its content alone (the highest round whose deciding
 interval it holds, then the least hashed name, then the leftmost).  Equal windows pick equal
 symbols with equal deciding intervals, so only those that occur again can stand for a repeat;
-these few are verified: first by the content of the whole range of windows that picked the
-symbol, then, where such ranges differ, window by window.
+names only propose.  What they propose is settled by the words themselves, as 128-bit BLAKE2 digests of
+the words joined by spaces: first of the whole range of windows that picked the symbol, then,
+where such ranges differ, window by window.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, mix64, powers, signed, slices, stored, word_hashes, word_spans
+from .kernel import SLICE_BYTES, U64, mix64, powers, signed, slices, stored, word_hashes, word_spans
 
 ROUNDS = 4
 RUN_ROUNDS = {0, 2}
@@ -34,7 +35,7 @@ _UNROLL = pow(_ROLL, -1, 1 << 64)
 
 
 class Ranges:
-    """Hashes of word ranges by prefix sums."""
+    """Hashes of word ranges by prefix sums, which name symbols but prove nothing."""
 
     def __init__(self, words: np.ndarray):
         self.sums = np.concatenate((np.zeros(1, U64), np.cumsum(words * powers(_ROLL, len(words)), dtype=U64)))
@@ -44,6 +45,29 @@ class Ranges:
         return mix64((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
+class Words:
+    """The words of texts with one space behind each, and digests of ranges of them."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        sizes = ends - starts + 1
+        self.at = np.concatenate(([0], np.cumsum(sizes)))
+        parts, lo = [], 0
+        while lo < len(starts):  # a very long text goes through in blocks of words
+            hi = max(lo + 1, int(np.searchsorted(self.at, self.at[lo] + SLICE_BYTES)) - 1)
+            at = self.at[lo : hi + 1] - self.at[lo]
+            out = data[np.minimum(np.repeat(starts[lo:hi] - at[:-1], sizes[lo:hi]) + np.arange(at[-1]), len(data) - 1)]
+            out[at[1:] - 1] = 32
+            parts.append(out.tobytes())
+            lo = hi
+        self.text = b"".join(parts)
+
+    def digests(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Two 64-bit halves of a digest for each range of words a to b."""
+        text, of = memoryview(self.text), hashlib.blake2b
+        out = b"".join([of(text[x:y], digest_size=16).digest() for x, y in zip(self.at[a].tolist(), self.at[b].tolist(), strict=True)])
+        return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
 def symbol_levels(words: np.ndarray, row: np.ndarray):
     """(name, first word, end, deciding interval's first word, its end) of the symbols, round after round.
 
@@ -150,9 +174,9 @@ def _places(row: np.ndarray, name: np.ndarray, content: np.ndarray, first: np.nd
     A text that repeats itself, above all one with a period, has many such ranges; neighbouring
     ones become one place.  The lists of ranges that stand alone in their text are empty.
     """
-    order = np.lexsort((first, content, name, row))
+    order = np.lexsort((first, content[:, 1], content[:, 0], name, row))
     r, n, c, f, l = row[order], name[order], content[order], first[order], last[order]
-    new = np.insert((r[1:] != r[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1]), 0, True)
+    new = np.insert((r[1:] != r[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1]).any(axis=1), 0, True)
     heads = np.flatnonzero(new)
     copies = np.diff(np.append(heads, len(order)))
     begins = new.copy()
@@ -165,53 +189,73 @@ def _places(row: np.ndarray, name: np.ndarray, content: np.ndarray, first: np.nd
     return order[heads], copies, offsets, f[starts] << SHIFT | size
 
 
+def _names(window: int):
+    """How often the windows of texts picked each name."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                starts, ends, rows = word_spans(data, offsets)
+                words = word_hashes(data, starts, ends)
+                found = picks(words, rows, window, Ranges(words))
+                if found is not None:
+                    name, n = np.unique(found[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(n)], ["name", "n"])
+
+    return run
+
+
+SYMBOLS = "name long, c1 long, c2 long, k1 long, k2 long, at long, copies long, places array<long>"
+
+
 def _symbols(window: int):
+    """A row of SYMBOLS for each name and content of a text."""
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, hi, data, offsets in slices(batch.column(2)):
                 starts, ends, rows = word_spans(data, offsets)
                 words = word_hashes(data, starts, ends)
-                ranges = Ranges(words)
-                found = picks(words, rows, window, ranges)
+                found = picks(words, rows, window, Ranges(words))
                 if found is None:
                     continue
                 name, first, last = found
-                content = ranges(first, last + window)
+                content = Words(data, starts, ends).digests(first, last + window)
                 row = np.searchsorted(rows, first, side="right") - 1
                 first, last = first - rows[row], last - rows[row]
                 one, copies, offsets, places = _places(row, name, content, first, last)
                 first, last = first[one], last[one]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int64()), mask=pa.array(copies == 1))
-                columns = (signed(name[one]), signed(content[one]), ids[lo + row[one]].astype(np.int64), first << SHIFT | (last - first), copies)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["name", "content", "doc_id", "at", "copies", "places"])
+                of = lo + row[one]
+                columns = (signed(name[one]), content[one, 0], content[one, 1], k1[of], k2[of], first << SHIFT | (last - first), copies)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], [x.split()[0] for x in SYMBOLS.split(", ")])
 
     return run
 
 
+WINDOWS = "name long, w1 long, w2 long, k1 long, k2 long, begin long, copies long"
+
+
 def _windows(window: int):
-    """A row for each window of the ranges that are listed with a text."""
+    """A row of WINDOWS for each window of the ranges that are listed with a text."""
 
     def run(batches):
         for batch in batches:
-            listed = batch.column(2).to_pylist()
-            ids = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            listed = batch.column(3).to_pylist()
+            k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, hi, data, offsets in slices(batch.column(2)):
                 starts, ends, rows = word_spans(data, offsets)
-                hashes = Ranges(word_hashes(data, starts, ends))
+                words = Words(data, starts, ends)
                 for i in range(lo, hi):
                     own = listed[i] or []
-                    names = np.array([x["name"] for x in own], np.int64)
-                    at = np.array([x["at"] for x in own], np.int64)
-                    copies = np.array([x["copies"] for x in own], np.int64)
+                    names, at, copies = (np.array([x[k] for x in own], np.int64) for k in ("name", "at", "copies"))
                     first, size = at >> SHIFT, (at & ((1 << SHIFT) - 1)) + 1
                     begin = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    fits = begin + rows[i - lo] + window <= rows[i - lo + 1]  # else of another text with this doc_id
-                    name, begin = np.repeat(names, size)[fits], begin[fits]
                     if len(begin):
-                        h = hashes(begin + rows[i - lo], begin + rows[i - lo] + window)
-                        arrays = (name, signed(h), np.full(len(begin), ids[i]), begin, np.repeat(copies, size)[fits])
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["name", "window", "doc_id", "begin", "copies"])
+                        w = words.digests(begin + rows[i - lo], begin + rows[i - lo] + window)
+                        arrays = (np.repeat(names, size), w[:, 0], w[:, 1], np.full(len(begin), k1[i]), np.full(len(begin), k2[i]), begin, np.repeat(copies, size))
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], [x.split()[0] for x in WINDOWS.split(", ")])
 
     return run
 
@@ -220,18 +264,17 @@ def covered(n: int, ranges: list, window: int) -> np.ndarray:
     """Which of n words lie in a window that starts in one of the (first, last) ranges."""
     steps = np.zeros(n + window + 1, np.int64)
     for x in ranges:
-        if x["first"] + window <= n:
-            steps[x["first"]] += 1
-            steps[min(x["last"] + window, n)] -= 1
+        steps[x["first"]] += 1
+        steps[x["last"] + window] -= 1
     return np.cumsum(steps)[:n] > 0
 
 
 def _cut(window: int, columns: list[str], text: int, digest: bool):
-    """The last column has the ranges; the one before it the key. digest: only sizes and the kept words' hash."""
+    """The last column has the ranges. digest: only sizes and the kept words' hash."""
 
     def run(batches):
         for batch in batches:
-            texts, found = batch.column(text), batch.column(len(columns) + 1).to_pylist()
+            texts, found = batch.column(text), batch.column(len(columns)).to_pylist()
             total, removed = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             out: list[str | None] = []
             for i, whole in enumerate(texts.to_pylist()):
@@ -252,33 +295,36 @@ def _cut(window: int, columns: list[str], text: int, digest: bool):
     return run
 
 
-KEY, RANGES = "attestry_key", "attestry_ranges"
+K1, K2, RANGES = "attestry_k1", "attestry_k2", "attestry_ranges"
 
 
 def repeated_ranges(documents: DataFrame, window: int = 35) -> DataFrame:
-    """(key, ranges): the windows of a document, by first and last start, whose words also start elsewhere."""
-    docs = keyed(documents).select(KEY, "text")
-    found = docs.mapInArrow(_symbols(window), "name long, content long, doc_id long, at long, copies long, places array<long>")
-    again = found.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name")
-    shared = stored(found.join(again, "name", "left_semi"), "symbols")
-    kinds = shared.groupBy("name", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "at")).alias("one"))
-    kinds = stored(kinds.select("name", "content", "copies", "one.doc_id", "one.at"), "kinds")
-    whole = shared.join(kinds.where("copies > 1").select("name", "content"), ["name", "content"], "left_semi")
+    """(K1, K2, ranges): the windows of a keyed text, by first and last start, whose words also start elsewhere."""
+    docs = documents.select(K1, K2, "text")
+    names = docs.select("text").mapInArrow(_names(window), "name long, n long")
+    again = names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
+    shared = stored(docs.mapInArrow(_symbols(window), SYMBOLS).join(again, "name", "left_semi"), "symbols")
+    kinds = shared.groupBy("name", "c1", "c2").agg(F.sum("copies").alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("one"))
+    kinds = stored(kinds.select("name", "c1", "c2", "copies", "one.*"), "kinds")
+    whole = shared.join(kinds.where("copies > 1").select("name", "c1", "c2"), ["name", "c1", "c2"], "left_semi")
     # Where the ranges of a name differ, one of each kind is compared with the others window by window.
     mixed = kinds.groupBy("name").count().where("count > 1").select("name")
-    asked = kinds.join(mixed, "name", "left_semi").groupBy(F.col("doc_id").alias(KEY)).agg(F.collect_list(F.struct("name", "at", "copies")).alias("asked"))
-    windows = stored(docs.join(asked, KEY).mapInArrow(_windows(window), "name long, window long, doc_id long, begin long, copies long"), "windows")
-    twice = windows.groupBy("name", "window").count().where("count > 1").select("name", "window")
-    single = windows.where("copies = 1").join(twice, ["name", "window"], "left_semi")
-    whole = whole.select("doc_id", F.explode(F.coalesce("places", F.array("at"))).alias("at"))
+    asked = kinds.join(mixed, "name", "left_semi").groupBy(F.col("k1").alias(K1), F.col("k2").alias(K2)).agg(F.collect_list(F.struct("name", "at", "copies")).alias("asked"))
+    of_asked = docs.join(asked, [K1, K2]).dropDuplicates([K1, K2]).select(K1, K2, "text", "asked")  # equal rows are asked once
+    windows = stored(of_asked.mapInArrow(_windows(window), WINDOWS), "windows")
+    twice = windows.groupBy("name", "w1", "w2").count().where("count > 1").select("name", "w1", "w2")
+    single = windows.where("copies = 1").join(twice, ["name", "w1", "w2"], "left_semi")
+    whole = whole.select("k1", "k2", F.explode(F.coalesce("places", F.array("at"))).alias("at"))
     first = F.shiftrightunsigned("at", SHIFT)
-    ranges = whole.select("doc_id", first.alias("first"), (first + F.col("at").bitwiseAND((1 << SHIFT) - 1)).alias("last"))
-    ranges = ranges.unionByName(single.select("doc_id", F.col("begin").alias("first"), F.col("begin").alias("last"))).distinct()
-    return ranges.groupBy(F.col("doc_id").alias(KEY)).agg(F.collect_list(F.struct("first", "last")).alias(RANGES))
+    ranges = whole.select("k1", "k2", first.alias("first"), (first + F.col("at").bitwiseAND((1 << SHIFT) - 1)).alias("last"))
+    ranges = ranges.unionByName(single.select("k1", "k2", F.col("begin").alias("first"), F.col("begin").alias("last"))).distinct()
+    return ranges.groupBy(F.col("k1").alias(K1), F.col("k2").alias(K2)).agg(F.collect_list(F.struct("first", "last")).alias(RANGES))
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    return documents.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    """documents with the keys of their texts: the id and a hash of the text, or two hashes of it where the id is null."""
+    text = F.col("text").cast("string")
+    return documents.withColumns({K1: F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text)), K2: F.xxhash64(text)})
 
 
 def without_repeats(documents: DataFrame, window: int = 35) -> DataFrame:
@@ -288,18 +334,16 @@ def without_repeats(documents: DataFrame, window: int = 35) -> DataFrame:
     else, in this document or another; all windows are judged on the input.  A text that loses words
     keeps the others, joined by one space; other texts stay as they are.  Null, empty and blank
     texts and texts shorter than a window lose nothing.  Rows that repeat a doc_id and its text are
-    places of their own, so all their windows repeat; where a doc_id has several texts, the
-    ranges found in each apply to all of them as far as they fit.  Rows with a null doc_id count
-    by their text.  An empty table stays empty.
+    places of their own, so all their windows repeat; the texts of a doc_id that has several are
+    judged and cut each by itself, as are those of rows with a null doc_id.  An empty table stays empty.
     """
-    held = keyed(documents).join(repeated_ranges(documents, window), KEY, "left")
+    held = keyed(documents).join(repeated_ranges(keyed(documents), window), [K1, K2], "left")
     columns = documents.columns
-    held = held.select(*columns, KEY, RANGES)
-    return held.mapInArrow(_cut(window, columns, columns.index("text"), False), documents.schema)
+    return held.select(*columns, RANGES).mapInArrow(_cut(window, columns, columns.index("text"), False), documents.schema)
 
 
 def repeat_digests(documents: DataFrame, window: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space, under the rules of without_repeats."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = keyed(docs).join(repeated_ranges(docs, window), KEY, "left").select("doc_id", "text", KEY, RANGES)
+    docs = keyed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    held = docs.join(repeated_ranges(docs, window), [K1, K2], "left").select("doc_id", "text", RANGES)
     return held.mapInArrow(_cut(window, ["doc_id", "text"], 1, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -96,6 +96,26 @@ def test_repeated_windows(spark, texts):
     assert all(hashlib.sha256(b" ".join(words(kept[i].text))).hexdigest() == h for i, _, _, h in want)
 
 
+def test_repeats_of_shared_and_null_ids(spark):
+    """Rows are judged by their own texts, whatever ids they share; words that collide in a weaker hash differ."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"{x}{rng.random()}" for _ in range(60)) for x in "abc")
+    bits = [bin(k).count("1") % 2 for k in range(1 << 11)]
+    long = ["".join("ab"[k ^ flip] for k in bits) for flip in (0, 1)]
+    near = [" ".join([f"w{k}" for k in range(17)] + [w] + [f"v{k}" for k in range(17)]) for w in long]
+    rows = [(1, a), (1, b), (2, a + " tail"), (None, c), (None, near[0]), (4, near[1]), (5, None), (5, ""), (None, "x " + c), (6, "u " * 34), (6, "y " * 36)]
+    starts = collections.Counter(tuple(x[k : k + 35]) for x in (words(t) for _, t in rows) for k in range(len(x) - 34))
+    want = []
+    for i, t in rows:
+        x = words(t)
+        gone = {p for k in range(len(x) - 34) if starts[tuple(x[k : k + 35])] > 1 for p in range(k, k + 35)}
+        want.append((i, len(x), len(gone), hashlib.sha256(b" ".join(w for k, w in enumerate(x) if k not in gone)).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in substrings.repeat_digests(docs).collect()))) == sorted(map(str, want))
+    kept = substrings.without_repeats(docs).collect()
+    assert sorted(hashlib.sha256(b" ".join(words(r.text))).hexdigest() for r in kept) == sorted(w[3] for w in want)
+
+
 def test_mixing(spark, texts):
     rows = mixing.mixture(table(spark, texts)).collect()
     assert len(rows) == len(texts)

@@ -70,6 +70,12 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = end
 
 
+def parts(batch: pa.RecordBatch, text: int, limit: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in parts of about limit bytes of its column text, so that few texts are held as objects at once."""
+    for at, end, _, _ in slices(batch.column(text), limit):
+        yield batch.slice(at, end - at)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and where each row's words begin (one more entry than rows)."""
     inside = ~_SEPARATOR[data]

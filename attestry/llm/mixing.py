@@ -1,11 +1,12 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's target is turned into exact quotas of words and blocks: a first epoch of distinct
-blocks and, beyond the source's size, a second one.  A binary tree over the output shards splits
-the vector of block quotas: each node draws its left half's share of every source from the
-multivariate hypergeometric distribution, as if all drawn blocks had been shuffled at once.  Blocks of
-a source stand in a permuted order, so consecutive ranks make disjoint draws; a rank finds its
-shard by walking down the tree, and blocks are shuffled again inside their shard.
+Each source's target is turned into exact quotas: a first epoch of distinct blocks and, beyond the
+source's size, a second one.  A binary tree over the output shards splits the vector of block
+quotas: each node draws its left half's share of every source from the multivariate hypergeometric
+distribution, as if all drawn blocks had been shuffled at once.  The leaves tell how many blocks of
+each source a shard draws.  Blocks of a source stand in a permuted order, of which the shards draw
+disjoint stretches, one after the other; a block that no shard's stretch reaches isn't drawn.
+Blocks are shuffled again inside their shard.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .kernel import stored
+from .kernel import parts, stored
 
 BLOCK = 256  # words
 SHARD_WORDS = 1 << 20
-MOST_SHARDS = 4096  # beyond, shards grow instead
+TREE_CELLS = 1 << 20  # shards times quotas that a task may hold: with more, shards grow instead
 BUCKET_BLOCKS = 4096
+DIRECT = 1_000_000_000  # numpy draws from smaller populations itself
 WEIGHTS = (5, 2, 1)
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -43,18 +46,27 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float =
     return [left * weights[i] / weight if x is None else x for i, x in enumerate(out)]
 
 
-def split(rng: np.random.Generator, quotas: np.ndarray, n: int) -> np.ndarray:
-    """How many of each quota are among n draws without replacement from all."""
-    if quotas.sum() < 1_000_000_000:
+def split(rng: np.random.Generator, quotas: np.ndarray, n: int, direct: int = DIRECT) -> np.ndarray:
+    """How many of each quota are among n draws without replacement from all.
+
+    For populations beyond numpy's range each unit is drawn by itself with equal chance; of too many drawn
+    ones the surplus, itself such a draw from them, goes back, and too few are filled up by a draw from
+    the rest.  All sets of n are equally likely at each step, so this is exact; the number that is still
+    to be moved shrinks to about its root each time."""
+    total = int(quotas.sum())
+    if total < direct:
         return rng.multivariate_hypergeometric(quotas, n, method="marginals")
-    out, rest, left = np.zeros_like(quotas), int(quotas.sum()), n
-    for k, q in enumerate(map(int, quotas)):  # beyond numpy's range: the hypergeometric's normal limit, in exact bounds
-        rest -= q
-        mean = left * q / max(1, q + rest)
-        spread = np.sqrt(max(0.0, mean * (1 - q / max(1, q + rest)) * (q + rest - left) / max(1, q + rest - 1)))
-        out[k] = min(max(round(rng.normal(mean, spread)), left - rest, 0), q, left)
-        left -= int(out[k])
-    return out
+    if n <= 64:  # one by one
+        out = np.zeros_like(quotas)
+        for _ in range(n):
+            ends = np.cumsum(quotas - out)
+            out[np.searchsorted(ends, rng.integers(ends[-1]), side="right")] += 1
+        return out
+    out = rng.binomial(quotas, n / total)
+    more = int(out.sum()) - n
+    if more > 0:
+        return out - split(rng, out, more, direct)
+    return out + split(rng, quotas - out, -more, direct) if more else out
 
 
 class Tree:
@@ -71,8 +83,10 @@ class Tree:
         return self.nodes[lo, hi]
 
     def shard(self, kind: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(kind), np.int64)
-        todo = [(0, self.shards, self.quotas, np.arange(len(kind)), rank)]
+        """The shard that draws each rank of the permuted blocks of a kind, -1 where none does."""
+        out = np.full(len(kind), -1)
+        drawn = np.flatnonzero(rank < self.quotas[kind])
+        todo = [(0, self.shards, self.quotas, drawn, rank[drawn])]
         while todo:
             lo, hi, quotas, rows, rank = todo.pop()
             if hi - lo == 1 or not len(rows):
@@ -96,7 +110,7 @@ def _dealt(quotas: tuple[int, ...], shards: int, seed: int):
         tree = _tree(quotas, shards, seed)
         for batch in batches:
             kind, rank = (batch.column(k).to_numpy().astype(np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.shard(kind, rank))], [*batch.schema.names, "shard"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.shard(kind, rank))], ["kind", "rank", "row", "doc_id", "epoch", "block", "first", "taken", "shard"])
 
     return run
 
@@ -110,81 +124,84 @@ def _plan(sized: DataFrame, ratio: float, weights: tuple[float, ...]) -> list[di
     return [{"source": r.source, "source_size": r["size"], "target": t, "number": i} for i, (r, t) in enumerate(zip(rows, goal, strict=True))]
 
 
-def draws(sized: DataFrame, plan: list[dict], seed: int = 0, ties: tuple[str, ...] = ()) -> DataFrame:
-    """row, doc_id, epoch, block, first (word), taken (words), shard and place of all draws from sized (row, doc_id, source, size).
+def draws(sized: DataFrame, plan: list[dict], seed: int = 0) -> DataFrame:
+    """row, doc_id, epoch, block, first (word), taken (words), shard and place of all draws from sized (row, doc_id, source, size, mark).
 
-    ties are columns of sized that order rows of one doc_id before their row does, and deal out rows with a null id."""
+    mark, a hash of the text, deals out rows with a null id and orders rows of one doc_id before their row does."""
     spark = sized.sparkSession
     quotas = []
     for p in plan:
         whole = min(round(p["target"]), 2 * p["source_size"])
         quotas += [(p["number"], p["source"], e, q) for e, q in ((0, min(whole, p["source_size"])), (1, max(0, whole - p["source_size"]))) if q]
     kinds = spark.createDataFrame([(k, *q) for k, q in enumerate(quotas)], "kind int, number int, source string, epoch int, quota long")
-    blocks = sized.where("size > 0").join(F.broadcast(kinds), sized.source.eqNullSafe(kinds.source)).select("row", "doc_id", *ties, "size", "kind", "epoch", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))).alias("block"))
-    unnamed = [F.when(F.col("doc_id").isNull(), F.col(c)) for c in ties]  # a null changes no hash
-    blocks = blocks.select("*", (F.col("block") * BLOCK).alias("first"), F.least(F.lit(BLOCK), F.col("size") - F.col("block") * BLOCK).alias("words"), F.xxhash64(F.lit(seed), "epoch", "doc_id", *unnamed, "block").alias("order"))
+    blocks = sized.where("size > 0").join(F.broadcast(kinds), sized.source.eqNullSafe(kinds.source)).select("row", "doc_id", "mark", "size", "kind", "epoch", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))).alias("block"))
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("mark"))  # a null changes no hash
+    blocks = blocks.select("*", (F.col("block") * BLOCK).alias("first"), F.least(F.lit(BLOCK), F.col("size") - F.col("block") * BLOCK).alias("words"), F.xxhash64(F.lit(seed), "epoch", "doc_id", unnamed, "block").alias("order"))
     bits = max(0, (max(1, sized.agg(F.sum(F.ceil(F.col("size") / BLOCK))).first()[0] or 0) // BUCKET_BLOCKS).bit_length())
     blocks = blocks.withColumn("bucket", F.shiftrightunsigned("order", 64 - bits) if bits else F.lit(0).cast("long"))
-    # Permuted ranks: a running count within small buckets of the order, from the counts of the buckets before.
-    counts = blocks.groupBy("kind", "bucket").agg(F.sum("words").alias("w"), F.count("*").alias("n"))
-    earlier = Window.partitionBy("kind").orderBy("bucket")
-    counts = counts.select("kind", "bucket", (F.sum("w").over(earlier) - F.col("w")).alias("w0"), (F.sum("n").over(earlier) - F.col("n")).alias("n0"))
-    order = Window.partitionBy("kind", "bucket").orderBy("order", "doc_id", "block", *ties, "row")
+    # Permuted ranks: a running count within small buckets of the order, from the counts of the buckets before, which
+    # are themselves counted from those of stretches of buckets.
+    counts = blocks.groupBy("kind", "bucket").agg(F.sum("words").alias("w"), F.count("*").alias("n")).withColumn("stretch", F.shiftright("bucket", 12))
+    before = lambda c, w: F.sum(c).over(w) - F.col(c)
+    over = Window.partitionBy("kind").orderBy("stretch")
+    stretches = counts.groupBy("kind", "stretch").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).select("kind", "stretch", before("w", over).alias("w1"), before("n", over).alias("n1"))
+    inside = Window.partitionBy("kind", "stretch").orderBy("bucket")
+    counts = counts.select("kind", "stretch", "bucket", before("w", inside).alias("w0"), before("n", inside).alias("n0")).join(stretches, ["kind", "stretch"])
+    counts = counts.select("kind", "bucket", (F.col("w0") + F.col("w1")).alias("w0"), (F.col("n0") + F.col("n1")).alias("n0"))
+    order = Window.partitionBy("kind", "bucket").orderBy("order", "doc_id", "block", "mark", "row")
     ranked = blocks.withColumns({"w": F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(order)}).join(counts, ["kind", "bucket"])
     start = F.col("w0") + F.col("w") - F.col("words")
-    ranked = ranked.select("kind", (F.col("n0") + F.col("n") - 1).alias("rank"), "row", "doc_id", "epoch", "block", "first", F.least("words", F.col("quota") - start).alias("taken")).where("taken > 0")
-    ranked = stored(ranked, "ranked")
-    of = {r.kind: r.n for r in ranked.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    total = sum(q[3] for q in quotas)
-    shards = min(MOST_SHARDS, max(1, -(-total // SHARD_WORDS)))
-    dealt = ranked.mapInArrow(_dealt(tuple(of.get(k, 0) for k in range(len(quotas))), shards, seed), "kind int, rank long, row long, doc_id long, epoch int, block long, first long, taken long, shard long")
-    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "epoch", "block"), "doc_id", "epoch", "block", "row")
-    return dealt.select("row", "doc_id", "epoch", "block", "first", "taken", "shard", (F.row_number().over(local) - 1).alias("place"))
+    ranked = stored(ranked.select("kind", (F.col("n0") + F.col("n") - 1).alias("rank"), "row", "doc_id", "epoch", "block", "first", F.least("words", F.col("quota") - start).alias("words")), "ranked")
+    # A kind's quota of blocks is what its quota of words reaches into; the last block is cut.
+    of = {r.kind: r.n for r in ranked.groupBy("kind").agg(F.count_if(F.col("words") > 0).alias("n")).collect()}
+    shards = min(max(1, TREE_CELLS // max(1, len(quotas))), max(1, -(-sum(q[3] for q in quotas) // SHARD_WORDS)))
+    dealt = ranked.mapInArrow(_dealt(tuple(of.get(k, 0) for k in range(len(quotas))), shards, seed), "kind int, rank long, row long, doc_id long, epoch int, block long, first long, taken long, shard long").where("shard >= 0")
+    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "kind", "rank"), "kind", "rank")
+    return dealt.select("row", "doc_id", "epoch", "block", "first", "taken", "shard", (F.row_number().over(local) - 1).cast("long").alias("place"))
 
 
-def _sized(documents: DataFrame, row: Column | None = None, *more: Column) -> DataFrame:
+def _sized(documents: DataFrame, row: Column | None = None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *more)
+    return documents.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("mark"))
 
 
 def mixture(documents: DataFrame, ratio: float = 1.5, weights: tuple[float, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
-    """doc_id, size (words), source_size, target, taken, n_shards and first_shard of each row.
+    """doc_id, size (words), source_size, target, taken, n_shards, first_shard and first_place of each row.
 
     Sources by code point, null last, have the weights in turn and share ratio of all words; a
-    target stops at twice its source's size.  A source's taken words are its target rounded to a whole word.
+    target stops at twice its source's size.  A source's taken words, summed over the shards' draws, are its target rounded
+    to a whole word.  first_shard and first_place tell where the first of the row's blocks stands in the mix.
     Null, empty and blank texts have size 0 and nothing taken.  Repeated rows are drawn
     from one by one.  An empty table gives an empty result; other columns are ignored.  The order of
-    draws depends on doc_id, so reruns agree.
+    draws depends on doc_id, of rows that share or lack it on their texts, so reruns agree.
     """
     spark = documents.sparkSession
     sized = stored(_sized(documents), "sized")
     plan = _plan(sized, ratio, weights)
     if not plan:
-        return spark.createDataFrame([], "doc_id long, size long, source_size long, target double, taken long, n_shards long, first_shard long")
-    taken = draws(sized, plan, seed).groupBy("row").agg(F.sum("taken").alias("taken"), F.count_distinct("shard").alias("n_shards"), F.min("shard").alias("first_shard"))
+        return spark.createDataFrame([], "doc_id long, size long, source_size long, target double, taken long, n_shards long, first_shard long, first_place long")
+    taken = draws(sized, plan, seed).groupBy("row").agg(F.sum("taken").alias("taken"), F.count_distinct("shard").alias("n_shards"), F.min(F.struct("shard", "place")).alias("spot"))
     sources = spark.createDataFrame([(p["source"], p["source_size"], float(p["target"])) for p in plan], "of string, source_size long, target double")
     out = sized.join(F.broadcast(sources), sized.source.eqNullSafe(sources.of)).join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("n_shards", F.lit(0)).alias("n_shards"), "first_shard")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("n_shards", F.lit(0)).alias("n_shards"), F.col("spot.shard").alias("first_shard"), F.col("spot.place").alias("first_place"))
 
 
-DRAWN, ROW = "attestry_drawn", "attestry_row"
+DRAWN, ROW, SHARD, PLACE = "attestry_drawn", "attestry_row", "attestry_shard", "attestry_place"
 
 
 def _written(columns: list[str], text: int):
+    """Rows with their drawn (first, taken) behind the columns: the text becomes the drawn words."""
+
     def run(batches):
-        for batch in batches:
-            of, out = [], []
-            texts, drawn = batch.column(text).to_pylist(), batch.column(len(columns)).to_pylist()
-            for i, (whole, parts) in enumerate(zip(texts, drawn, strict=True)):
+        for batch in (part for whole in batches for part in parts(whole, text)):
+            out = []
+            for whole, own in zip(batch.column(text).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 words = (whole or "").encode().split()
-                for epoch in sorted({p["epoch"] for p in parts}):
-                    own = sorted((p["first"], p["taken"]) for p in parts if p["epoch"] == epoch)
-                    of.append(i)
-                    out.append(whole if sum(n for _, n in own) == len(words) else b" ".join(w for a, n in own for w in words[a : a + n]).decode())
-            take = pa.array(of, pa.int64())
-            arrays = [batch.column(k).take(take) for k in range(len(columns))]
+                own = sorted((p["first"], p["taken"]) for p in own)
+                out.append(whole if sum(n for _, n in own) == len(words) else b" ".join(w for a, n in own for w in words[a : a + n]).decode())
+            arrays = [batch.column(k) for k in range(len(columns))]
             arrays[text] = pa.array(out, arrays[text].type)
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(len(columns) + 1), batch.column(len(columns) + 2)], [*columns, SHARD, PLACE])
 
     return run
 
@@ -192,15 +209,20 @@ def _written(columns: list[str], text: int):
 def mixed_documents(documents: DataFrame, ratio: float = 1.5, weights: tuple[float, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
     """The mix as rows of documents: a row for each epoch in which a document is drawn, with the drawn words as text.
 
+    Rows of a shard stand together, each at the place of the first of its blocks in the shard's shuffled order.
     A text that is drawn whole stays as it is; of others the drawn blocks follow each other, joined
     by one space.  Rows of which nothing is drawn go.  Rows with a null or repeated id are drawn from one by
     one; they are ordered by their texts, so reruns agree but for which of two equal texts of one id is drawn.
+    An empty table stays empty; other columns go along, whatever their names.
     """
     columns = documents.columns
     held = stored(documents.withColumn(ROW, F.monotonically_increasing_id()), "held")
-    sized = stored(_sized(held, F.col(ROW), F.xxhash64(F.col("text").cast("string")).alias("mark")), "sized")
+    sized = stored(_sized(held, F.col(ROW)), "sized")
     plan = _plan(sized, ratio, weights)
     if not plan:
         return documents.limit(0)
-    drawn = draws(sized, plan, seed, ("mark",)).groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("epoch", "first", "taken")).alias(DRAWN))
-    return held.join(drawn, ROW).select(*columns, DRAWN).mapInArrow(_written(columns, columns.index("text")), documents.schema)
+    drawn = draws(sized, plan, seed).groupBy(F.col("row").alias(ROW), "epoch").agg(F.collect_list(F.struct("first", "taken")).alias(DRAWN), F.min(F.struct("shard", "place")).alias("spot"))
+    drawn = drawn.select(ROW, DRAWN, F.col("spot.shard").alias(SHARD), F.col("spot.place").alias(PLACE))
+    shape = T.StructType([*documents.schema, T.StructField(SHARD, T.LongType()), T.StructField(PLACE, T.LongType())])
+    mixed = held.join(drawn, ROW).select(*columns, DRAWN, SHARD, PLACE).mapInArrow(_written(columns, columns.index("text")), shape)
+    return mixed.repartition(SHARD).sortWithinPartitions(SHARD, PLACE).select(*columns)

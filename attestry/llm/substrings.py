@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SLICE_BYTES, U64, mix64, powers, signed, slices, stored, word_hashes, word_spans
+from .kernel import SLICE_BYTES, U64, mix64, parts, powers, signed, slices, stored, word_hashes, word_spans
 
 ROUNDS = 4
 RUN_ROUNDS = {0, 2}
@@ -273,7 +273,7 @@ def _cut(window: int, columns: list[str], text: int, digest: bool):
     """The last column has the ranges. digest: only sizes and the kept words' hash."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, text)):
             texts, found = batch.column(text), batch.column(len(columns)).to_pylist()
             total, removed = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             out: list[str | None] = []

@@ -157,6 +157,66 @@ def test_splitting_tree_keeps_quotas():
     assert per.sum() == 1011 and per.max() - per.min() <= 3
 
 
+def test_splits_of_large_populations_are_exact():
+    """Drawn by the rule for large populations, counts follow the hypergeometric distribution of numpy's own sampler."""
+    quotas, n, times = np.array([400, 250, 50]), 300, 4000
+    by = [np.array([f(k) for k in range(times)]) for f in (lambda k: mixing.split(np.random.default_rng([1, k]), quotas, n, 0), lambda k: mixing.split(np.random.default_rng([2, k]), quotas, n))]
+    assert (by[0].sum(axis=1) == n).all() and (by[0] >= 0).all() and (by[0] <= quotas).all()
+    for k in range(3):
+        a, b = (np.bincount(x[:, k], minlength=401) / times for x in by)
+        assert np.abs(np.cumsum(a) - np.cumsum(b)).max() < 1.95 * np.sqrt(2 / times)  # Kolmogorov-Smirnov, 0.1 %
+    huge = np.array([3 * 10**13, 10**12, 5])
+    out = mixing.split(np.random.default_rng(3), huge, 10**13)
+    assert out.sum() == 10**13 and (out <= huge).all() and abs(out[0] / 10**13 - 30 / 31) < 1e-5
+
+
+def test_draws_by_brute_force(spark, texts):
+    """Each draw is of the shard whose stretch of its source's permuted blocks, by the tree's leaves, reaches it; places are a shuffle of each shard."""
+    docs = table(spark, texts * 3, "abc")
+    sized = mixing.stored(mixing._sized(docs), "sized")
+    plan = mixing._plan(sized, 1.5, mixing.WEIGHTS)
+    got = mixing.draws(sized, plan).collect()
+    blocks = collections.defaultdict(set)
+    for r in sized.collect():
+        for k in range(-(-r["size"] // mixing.BLOCK)):
+            blocks[r.source].add((r.row, k, min(mixing.BLOCK, r["size"] - k * mixing.BLOCK)))
+    source = {r.row: r.source for r in sized.collect()}
+    for p in plan:
+        for epoch in (0, 1):
+            own = [r for r in got if source[r.row] == p["source"] and r.epoch == epoch]
+            quota = min(round(p["target"]), p["source_size"]) if epoch == 0 else max(0, round(p["target"]) - p["source_size"])
+            assert sum(r.taken for r in own) == quota and len({(r.row, r.block) for r in own}) == len(own)
+            size = {(row, k): n for row, k, n in blocks[p["source"]]}
+            assert sum(size[r.row, r.block] != r.taken for r in own) <= 1  # one block is cut
+    for s in {r.shard for r in got}:
+        own = [r for r in got if r.shard == s]
+        assert sorted(r.place for r in own) == list(range(len(own)))
+        own.sort(key=lambda r: r.place)
+        assert [r.row for r in own] != sorted(r.row for r in own)
+    # small shards: the tree's leaves are exact quotas, and stretches follow each other
+    tree = mixing.Tree([50, 31], 8, 0)
+    at = np.arange(60)
+    shards = [tree.shard(np.full(60, k), at) for k in (0, 1)]
+    assert all((s[q:] == -1).all() and (np.diff(s[:q]) >= 0).all() and (s[:q] >= 0).all() for s, q in zip(shards, (50, 31), strict=True))
+
+
+def test_mixed_rows_stand_in_the_shards_order(spark, texts, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    docs = table(spark, texts * 2)
+    sized = mixing.stored(mixing._sized(docs), "sized")
+    drawn = mixing.draws(sized, mixing._plan(sized, 1.5, mixing.WEIGHTS)).collect()
+    assert len({r.shard for r in drawn}) > 4
+    first = {}
+    for r in drawn:
+        first[r.doc_id, r.epoch] = min(first.get((r.doc_id, r.epoch), (r.shard, r.place)), (r.shard, r.place))
+    wanted = collections.defaultdict(list)
+    for (doc, _), spot in sorted(first.items(), key=lambda x: x[1]):
+        wanted[spot[0]].append(doc)
+    rows = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
+    for own in wanted.values():
+        assert any(rows[k : k + len(own)] == own for k in range(len(rows)))
+
+
 def test_packing(spark, texts):
     t = Tokenizer.from_file(VOCABULARY)
     ids = [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]

@@ -1,8 +1,9 @@
 """Quality rules of documents and of the hosts that they come from, with DataFrame functions only.
 
-Each document is measured and judged by base rules.  Failures are counted by host, the failure
-rates are shrunk towards the rate of all hosts by a beta prior fitted to the hosts' rates, and a
-host whose shrunk rate is above the limit takes its documents with it.
+Each document is measured and judged by rules.  The failures of each rule are counted by host, and
+the hosts' failure rates are shrunk towards the rate of all hosts by a beta prior that is fitted
+to them.  A host of which the shrunk rate of a rule lies above the prior's mean by more than so many
+of its standard deviations takes its documents with it.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ def measured(documents: DataFrame, host: str = "source") -> DataFrame:
     return d.withColumn("n_repeat_words", F.coalesce(F.aggregate(fresh, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop("at")
 
 
-def beta_prior(hosts: DataFrame) -> tuple[float, float]:
+def beta_prior(hosts: DataFrame, rule: str) -> tuple[float, float]:
     """The beta distribution with the hosts' mean failure rate and the spread of their rates (method of moments)."""
-    r = hosts.agg(F.sum("failed").alias("f"), F.sum("n").alias("n"), F.var_pop(F.col("failed") / F.col("n")).alias("v")).first()
+    r = hosts.agg(F.sum(rule).alias("f"), F.sum("n").alias("n"), F.var_pop(F.col(rule) / F.col("n")).alias("v")).first()
     if not r.n:
         return 1.0, 1.0
     mean = min(max(r.f / r.n, 1e-6), 1 - 1e-6)
@@ -50,19 +51,25 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
-def judged_documents(documents: DataFrame, host: str = "source", fewest_words: int = 50, most_repeat_percent: int = 50, host_limit: float = 0.5) -> DataFrame:
-    """The counts of each row with base_failed, host_failed and kept.
+def judged_documents(documents: DataFrame, host: str = "source", fewest_words: int = 50, most_repeat_percent: int = 50, deviations: float = 1.0) -> DataFrame:
+    """The counts of each row with short, repetitive, base_failed, host_failed and kept.
 
-    base_failed: fewer words than fewest_words, or more than most_repeat_percent of them in repeated
-    3-word windows.  host_failed: the host's failure rate, shrunk by the prior, exceeds host_limit.  A
+    short: fewer words than fewest_words; repetitive: more than most_repeat_percent of them in repeated
+    3-word windows; base_failed: either.  host_failed: the host's rate of either rule, shrunk by that rule's prior, exceeds
+    the prior's mean by more than deviations of its standard deviations.  With one host, or hosts of equal rates, none fails.  A
     null text has no words and fails.  Rows without a host are judged as one host.  Rows are
     judged one by one, so repeated rows count repeatedly; an empty table gives an empty result;
     other columns are ignored.
     """
-    failed = (F.col("n_words") < fewest_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
-    docs = stored(measured(documents, host).withColumn("base_failed", failed), "rules")
-    hosts = docs.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    a, b = beta_prior(hosts)
-    verdicts = hosts.select(F.col("host").alias("judged"), ((F.col("failed") + a) / (F.col("n") + a + b) > host_limit).alias("host_failed"))
+    rules = {"short": F.col("n_words") < fewest_words, "repetitive": 100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words")}
+    docs = stored(measured(documents, host).withColumns(rules), "rules")
+    hosts = docs.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(r).cast("long")).alias(r) for r in rules))
+    failed = F.lit(False)
+    for rule in rules:
+        a, b = beta_prior(hosts, rule)
+        limit = a / (a + b) + deviations * (a * b / (a + b + 1)) ** 0.5 / (a + b)
+        failed = failed | ((F.col(rule) + a) / (F.col("n") + a + b) > limit)
+    verdicts = hosts.select(F.col("host").alias("judged"), failed.alias("host_failed"))
     out = docs.join(verdicts, F.col("host").eqNullSafe(F.col("judged")), "left").drop("judged")
+    out = out.withColumn("base_failed", F.col("short") | F.col("repetitive"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .kernel import parts
+
 # Fixed values of the formats.
 CAPTURE = b"OggS"
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -96,7 +98,8 @@ class Stream:
     """A logical stream: whole packets, and the time axis that its pages give."""
 
     packets: list[bytes] = field(default_factory=list)
-    granules: list[int] = field(default_factory=list)  # of the page on which each packet ends
+    granules: list[int] = field(default_factory=list)  # of the page on which each packet ends, which is that of its last packet
+    last: list[bool] = field(default_factory=list)  # whether a packet is the last one that ends on its page
     part: bytes | None = None
     next_page: int = 0
     ended: bool = False
@@ -124,14 +127,19 @@ def read_streams(media: bytes) -> dict[int, Stream]:
         if number != stream.next_page or stream.ended or bool(flags & CONTINUED) != (stream.part is not None):
             raise ValueError("page out of sequence")
         stream.next_page, stream.ended = number + 1, bool(flags & LAST)
-        place, length = at + PAGE.size + segments, 0
+        place, length, ended = at + PAGE.size + segments, 0, len(stream.packets)
         for value in lacing:
             length += value
             if value < 255:
                 stream.packets.append((stream.part or b"") + media[place : place + length])
                 stream.granules.append(granule)
+                stream.last.append(False)
                 stream.part = None
                 place, length = place + length, 0
+        if len(stream.packets) > ended:
+            stream.last[-1] = True
+        elif granule != NO_GRANULE:
+            raise ValueError("granule position of a page on which no packet ends")
         if length or (lacing and lacing[-1] == 255):
             stream.part = (stream.part or b"") + media[place : place + length]
         at = end
@@ -140,6 +148,22 @@ def read_streams(media: bytes) -> dict[int, Stream]:
     return streams
 
 
+def packet_times(stream: Stream, sizes: list[int], first: int, rate: int) -> list[tuple[float, float]]:
+    """Start and end in seconds of the packets from first on; sizes are their samples.
+
+    A page's granule is the end of the last packet that ends on it; the ends of those before it follow
+    backwards from there by their sizes.  ValueError where the granules of two pages disagree with them."""
+    ends: list[int] = [0] * len(sizes)
+    after = None
+    for k in range(len(sizes) - 1, -1, -1):
+        after = stream.granules[first + k] if stream.last[first + k] else after - sizes[k + 1]
+        ends[k] = after
+    starts = [end - size for end, size in zip(ends, sizes, strict=True)]
+    if starts != [0, *ends[:-1]][: len(starts)]:
+        raise ValueError("granule positions differ from the samples")
+    return [(a / rate, b / rate) for a, b in zip(starts, ends, strict=True)]
+
+
 def decode(media: bytes) -> tuple[bytes, int, str]:
     """(samples, unpadded bytes, features) of an Ogg file that encode could have made."""
     streams = read_streams(media)
@@ -155,12 +179,11 @@ def decode(media: bytes) -> tuple[bytes, int, str]:
         if zlib.crc32(payload[first : first + block]) != checksum:
             raise ValueError("samples differ from their index")
     samples = np.frombuffer(payload, np.uint8)
-    if pcm.granules[-1] != len(samples):
-        raise ValueError("granule position differs from the samples")
+    times = packet_times(pcm, [len(p) for p in pcm.packets[1 + extra :]], 1 + extra, rate)
     centred = samples.astype(np.float32) - 128
     crossings = int(np.count_nonzero(np.diff(np.signbit(centred))))
     features = {
-        "codec": "pcm_u8", "rate": rate, "seconds": f"{pcm.granules[-1] / rate:.6f}", "streams": len(streams),
+        "codec": "pcm_u8", "rate": rate, "seconds": f"{times[-1][1]:.6f}", "last_packet": f"{times[-1][0]:.6f}", "streams": len(streams),
         "pages": sum(s.next_page for s in streams.values()), "packets": len(pcm.packets) - 1 - extra, "peak": int(np.abs(centred).max()),
         "rms": f"{np.sqrt(np.mean(centred.astype(np.float64) ** 2)):.4f}", "crossings": crossings,
     }
@@ -172,7 +195,7 @@ def padded(raw: bytes, unit: int = 64) -> bytes:
 
 
 def _encoded(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole, 1)):
         raw = [(x.as_py() or "").encode() for x in batch.column(1)]
         media = [encode(padded(x), len(x)) for x in raw]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
@@ -193,7 +216,7 @@ FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, t
 
 def _facts(batches):
     names = [x.split()[0] for x in FACTS.split(", ")]
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole, 1)):
         rows = []
         for x in batch.column(1):
             media = x.as_py()
@@ -206,7 +229,7 @@ def _facts(batches):
 
 def media_facts(media: DataFrame) -> DataFrame:
     """What the stored files hold: sizes and digests of the samples read back and of the files, and features
-    (codec, rate, seconds by granule position, streams, pages, packets, peak, rms, sign changes).
+    (codec, rate, seconds and the last packet's start by granule positions, streams, pages, packets, peak, rms, sign changes).
 
     A file that fails a check ends the job with ValueError: stored media are never passed over.
     """

@@ -169,13 +169,14 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tree
     """A model of labels.quality from at most sample labelled documents outside the held-out ones.
 
     The documents of the sample are those with the least hashes of their ids; so many ids and labels
-    are broadcast, and so many rows of statistics go to the driver.  Several labels of a document
-    count by their mean; null labels don't count.  Without labels of both kinds all scores are alike.
+    are broadcast, and so many rows of statistics go to the driver.  Of rows that share an id one text
+    counts, the one with the least hash.  Several labels of a document count by their mean; null labels don't count.  Without labels of both kinds all scores are alike.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(known), "doc_id").select("text", "y", "doc_id").mapInArrow(_sampled, "x array<double>, y double, doc_id long")
+    known = known.where(~held_out(F.col("doc_id"))).join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    one = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+    found = one.select("text", "y", "doc_id").mapInArrow(_sampled, "x array<double>, y double, doc_id long")
     rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.x))
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows]))
 

@@ -78,12 +78,13 @@ b AS (SELECT w.doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
        - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS failed FROM f GROUP BY source),
-p AS (SELECT least(greatest(sum(failed) / sum(n), 1e-6), 1 - 1e-6) AS m, greatest(var_pop(failed / n), 1e-12) AS v FROM h),
-k AS (SELECT m, least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) AS k FROM p),
-j AS (SELECT source, (failed + m * k) / (n + k) > 0.5 AS host_failed FROM h, k)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
+f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repetitive FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE short) AS s, count(*) FILTER (WHERE repetitive) AS r FROM f GROUP BY source),
+p AS (SELECT rule, least(greatest(sum(failed) / sum(n), 1e-6), 1 - 1e-6) AS m, greatest(var_pop(failed / n), 1e-12) AS v
+  FROM (SELECT 's' AS rule, n, s AS failed FROM h UNION ALL SELECT 'r', n, r FROM h) GROUP BY rule),
+k AS (SELECT rule, m, least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) AS k FROM p),
+j AS (SELECT source, bool_or((CASE rule WHEN 's' THEN s ELSE r END + m * k) / (n + k) > m + sqrt(m * (1 - m) / (k + 1))) AS host_failed FROM h, k GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed, NOT (short OR repetitive) AND NOT host_failed AS kept
 FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source""",
     "op3_ngram_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_transform({_WORDS}, lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS words FROM documents),

@@ -3,8 +3,8 @@
 Each task writes one archive of gzip members, a member for each record, to the shared folder and
 returns the index lines.  The lines are range-sorted by reversed-host URL keys and cut into
 compressed blocks; a sparse directory beside each index shard holds the first key of each
-block.  A lookup binary-searches the shards' bounds and the directory, then reads one block and
-one record by range.  Files are named anew by each attempt of a task and lines point only to
+block.  A lookup binary-searches the shards' bounds and the directory and reads one block; the
+records that it finds are read by range, those of an archive together and in its order.  Files are named anew by each attempt of a task and lines point only to
 files of the attempt that returned them, so a lost executor leaves nothing but unused files.
 """
 
@@ -24,9 +24,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import new_path, stored
+from .kernel import new_path, parts, stored
 
 BLOCK_LINES = 3000
+SHARD_LINES = 100_000
+READ_BYTES = 2 << 20  # of archives that a task reads back, unless one archive has more
 NO_ID = -(1 << 63)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -100,7 +102,7 @@ def _write(folder: str):
     def run(batches):
         files, root = _filesystem(folder)
         name, at, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 2)):
             rows = [[] for _ in range(5)]
             for page, url, html, first in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if out is None:
@@ -125,9 +127,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     others revisit; a null html is an empty payload, a null page_id comes after all others.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha2("html", 256))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    return stored(rows.join(first, "digest").select("page_id", "url", "html", "first").mapInArrow(_write(folder), LINES), "lines")
+    rows = rows.withColumns({"key": F.coalesce("page_id", F.lit(NO_ID)), "digest": F.sha2("html", 256)})
+    # Only digests meet by payload; a page's own row meets its verdict by its id, so that many equal payloads fill no task.
+    digests = rows.select("key", "page_id", "digest")
+    first = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = digests.join(first, "digest").where("page_id is null or page_id <> first").select("key", "digest", "first").distinct()
+    known = rows.join(revisits, ["key", "digest"], "left").select("page_id", "url", "html", "first")
+    return stored(known.mapInArrow(_write(folder), LINES), "lines")
 
 
 def _index(folder: str):
@@ -166,7 +172,8 @@ def _index(folder: str):
 
 def build_index(lines: DataFrame, folder: str) -> list[tuple[str, int, str]]:
     """Writes the index; returns (first key, first page, shard) in order: one entry for each partition of the sort."""
-    laid = lines.repartitionByRange("url_key", F.coalesce("page_id", F.lit(NO_ID))).sortWithinPartitions("url_key", F.coalesce("page_id", F.lit(NO_ID)))
+    shards = max(1, -(-lines.count() // SHARD_LINES))
+    laid = lines.repartitionByRange(shards, "url_key", F.coalesce("page_id", F.lit(NO_ID))).sortWithinPartitions("url_key", F.coalesce("page_id", F.lit(NO_ID)))
     shards = stored(laid.mapInArrow(_index(folder), "shard string, url_key string, page_id long"), "shards")
     return sorted((r.url_key, r.page_id, r.shard) for r in shards.collect())
 
@@ -216,35 +223,63 @@ class Index:
 FOUND = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _read(folder: str, index: str, names: list[str]):
+def _located(index: str, names: list[str]):
     def run(batches):
-        files, root = _filesystem(folder)
-        shard, held, archive = None, None, (None, None)
+        shard, held = None, None
         for batch in batches:
-            rows = []
+            rows = [[] for _ in range(4)]
             for number, key, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if number != shard:
+                    if held:
+                        held.blocks.close()
                     shard, held = number, Index(index, names[number])
                 for name, offset, length in held.find(key, page):
-                    if archive[0] != name:
-                        archive = (name, files.open_input_file(f"{root}/{name}"))
-                    fields = read_record(archive[1].read_at(length, offset))
-                    back = fields.get("X-Refers-To-Page")
-                    rows.append((None if page == NO_ID else page, fields["payload_bytes"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], None if back is None else int(back)))
+                    for column, value in zip(rows, (name, offset, length, None if page == NO_ID else page), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(x, pa.int64()) for x in rows[1:])], ["file", "offset", "length", "page_id"])
+        if held:
+            held.blocks.close()
+
+    return run
+
+
+def _records(folder: str):
+    """Rows sorted by file and offset to the records there; a file is open once."""
+
+    def run(batches):
+        files, root = _filesystem(folder)
+        name, archive = None, None
+        for batch in batches:
+            rows = []
+            for file, offset, length, page in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if file != name:
+                    if archive:
+                        archive.close()
+                    name, archive = file, files.open_input_file(f"{root}/{file}")
+                fields = read_record(archive.read_at(length, offset))
+                back = fields.get("X-Refers-To-Page")
+                rows.append((page, fields["payload_bytes"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], None if back is None else int(back)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        if archive:
+            archive.close()
 
     return run
 
 
 def read_archives(asked: DataFrame, folder: str, index: str, bounds: list[tuple[str, int, str]]) -> DataFrame:
-    """The records of asked (page_id, url), found through the index; asked rows are distinct pages."""
+    """The records of asked (page_id, url), found through the index; asked rows are distinct pages.
+
+    A task for each shard of the index finds where they are, a task for each archive, or a few of them, reads them."""
     if not bounds:
         return asked.sparkSession.createDataFrame([], FOUND)
     routed = asked.mapInArrow(_routed(bounds), "shard long, url_key string, page_id long").distinct()
-    laid = routed.repartitionByRange("shard", "url_key", "page_id").sortWithinPartitions("shard", "url_key", "page_id")
-    return laid.mapInArrow(_read(folder, index, [b[2] for b in bounds]), FOUND)
+    laid = routed.repartition(len(bounds), "shard").sortWithinPartitions("shard", "url_key", "page_id")
+    found = stored(laid.mapInArrow(_located(index, [b[2] for b in bounds]), "file string, offset long, length long, page_id long"), "located")
+    size = found.agg(F.count_distinct("file"), F.sum("length")).first()
+    tasks = max(1, min(size[0], -(-(size[1] or 0) // READ_BYTES)))
+    return found.repartition(tasks, "file").sortWithinPartitions("file", "offset").mapInArrow(_records(folder), FOUND)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:

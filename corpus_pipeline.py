@@ -1,4 +1,9 @@
-"""A corpus pipeline of the operators: quality, near copies, repeated passages, mixing, packing."""
+"""A corpus pipeline of the operators: quality, near copies, repeated passages, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir).  For all of them: a null text is an empty one; very long texts are
+processed whole; rows that repeat an id, or have none, are judged or carried each by itself unless a stage says otherwise; an empty
+table gives an empty result; further columns go along untouched, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +15,40 @@ from attestry.llm import kernel, mixing, ngram_join, packing, quality_model, sub
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A row's score depends on its text alone, so equal texts, ties included, stay or go together; an empty text is scored like others.
+    Without usable labels all rows have one score.
+    """
     return quality_model.accepted_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays.
+
+    Rows of that id all stay, also repeated ones; rows with a null id stay; texts without words are copies of nothing.
+    """
     return ngram_join.distinct_documents(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words or more that occur elsewhere are taken out."""
+    """Passages of 35 words or more that occur elsewhere are taken out.
+
+    Every row stays, if need be with an empty text; a null text stays null.  Of equal texts each loses all repeated words.
+    """
     return substrings.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are drawn to their targets; a document that is drawn twice has two rows."""
+    """Sources are drawn to their targets; a document that is drawn twice has two rows.
+
+    Documents without words, null texts among them, have nothing to draw and go.  A null source is a source of its own, the last one.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences."""
+    """Token sequences: a row for each piece of each row, whose ids may be null or repeated; an empty text is its end token."""
     return packing.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

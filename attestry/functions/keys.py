@@ -14,7 +14,10 @@ STOPWORDS = (
     "a an and are as at be been by do does for from had has have how i if in into is it its of on or our that the their them there these they "
     "this to was we were what when where which who why will with you your"
 ).split()
-ANAPHORA = "it its that this these those they them their".split()
+# The private, link-local, documentation and reserved ranges of addresses.
+PRIVATE = r"^(0\.|10\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.0\.[02]\.|192\.168\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2(4[0-9]|5[0-5])\.)"
+PRIVATE6 = r"^((f[cd]|fe[89ab])[0-9a-f]{0,2}:|2001:db8:)"
+ANAPHORA = "it its that this these those they them their there same one ones above below former latter".split()
 
 
 def parent(id_: Column) -> Column:
@@ -49,16 +52,23 @@ def identifiers(text: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/]*@)?([^:/?#]+)", 1), F.lit("")))
+    """The host in lower case, of an IPv6 address without its brackets; null where there is none."""
+    plain = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^\[\]:/?#]+)", 1)
+    six = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?\[([0-9A-Fa-f:.]+)\]", 1)
+    return F.lower(F.coalesce(F.nullif(six, F.lit("")), F.nullif(plain, F.lit(""))))
 
 
 def exposure(url: Column) -> Column:
-    """local, self-hosted or third-party by the URL's host; without a host third-party."""
+    """local, self-hosted or third-party by the URL's host; without a host third-party.
+
+    Addresses count by their range only where the host is a whole dotted quad or an IPv6 address; 10.example.com is a name."""
     h = host(url)
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    quad, six = h.rlike(rf"^{octet}(\.{octet}){{3}}$"), h.contains(":")
     return (
         F.when(h.isNull(), "third-party")
-        .when((h == "localhost") | h.endswith(".localhost") | h.rlike(r"^127\."), "local")
-        .when(h.endswith(".local") | h.endswith(".internal") | h.rlike(r"^(10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)"), "self-hosted")
+        .when((h == "localhost") | h.endswith(".localhost") | (quad & h.rlike(r"^127\.")) | (six & h.rlike(r"^(::1|0{1,4}(:0{1,4}){6}:0{0,3}1)$")), "local")
+        .when(h.endswith(".local") | h.endswith(".internal") | (quad & h.rlike(PRIVATE)) | (six & h.rlike(PRIVATE6)), "self-hosted")
         .otherwise("third-party")
     )
 
@@ -74,7 +84,7 @@ def framework_key(name: Column, aliases: list[tuple[str, str]]) -> Column:
 
 def is_followup(text: Column) -> Column:
     """A turn that points back: an anaphora word, or at most one word of content."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), 1)
     return F.arrays_overlap(words, F.array(*map(F.lit, ANAPHORA))) | (F.size(tokens(text)) <= 1)
 
 

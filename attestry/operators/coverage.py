@@ -66,3 +66,18 @@ def split_adoption(requirements: DataFrame, adopted: DataFrame, reachable: DataF
     x = requirements.join(a, "framework", "left").join(r, "id", "left").join(F.broadcast(none))
     scope = F.when(F.col("none") | F.coalesce("a", F.lit(False)), "in-scope").when(F.col("r"), "reachable").otherwise("unadopted")
     return x.select("framework", "id", scope.alias("scope"))
+
+
+def adopted_frameworks(catalog: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The frameworks of catalog (framework, id) with any id among anchors (anchor)."""
+    return catalog.join(anchors.select(F.col("anchor").alias("id")).distinct(), "id", "left_semi").select("framework").distinct()
+
+
+def admitted(content: DataFrame, providers: DataFrame, ceilings: DataFrame) -> DataFrame:
+    """content's rows (content, provider) with whether the provider's exposure is at most the content class's ceiling; without a ceiling none is.
+
+    providers (provider, exposure), ceilings (content, ceiling); from least to most exposed: local, self-hosted, third-party."""
+    order = F.array(F.lit("local"), F.lit("self-hosted"), F.lit("third-party"))
+    place = lambda c: F.array_position(order, F.col(c))
+    x = content.join(providers, "provider", "left").join(ceilings, "content", "left").withColumn("exposure", F.coalesce("exposure", F.lit("third-party")))
+    return x.select(*content.columns, F.coalesce((place("exposure") > 0) & (place("exposure") <= place("ceiling")), F.lit(False)).alias("admitted"))

@@ -67,3 +67,16 @@ def joined_columns(fde: DataFrame, rde: DataFrame, olir: DataFrame) -> DataFrame
         return d.select(F.regexp_replace("key", "^(FDE|RDE|OE)-", "").alias("key"), F.col("value").alias(name))
     x = short(fde, "fde").join(short(rde, "rde"), "key", "full_outer").join(short(olir, "olir"), "key", "full_outer")
     return x.select("key", "fde", "rde", "olir", (F.col("fde").isNull() | F.col("rde").isNull() | F.col("olir").isNull()).alias("gap"))
+
+
+def split_mappings(lines: DataFrame, sources: DataFrame) -> DataFrame:
+    """line, source and id of mapping lines: the longest source that a line begins with, and the rest; '' and the whole line if none does.
+
+    A source ends where no letter or digit follows.  Each distinct line is cut at such places, so lines and sources meet by equality."""
+    x = lines.select("line").distinct().select("line", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("text"))
+    ends = F.filter(F.sequence(F.lit(1), F.length("text")), lambda n: ~F.col("text").substr(n + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]"))
+    cuts = x.where("text <> ''").select("line", F.explode(ends).alias("n"), "text").select("line", F.expr("substring(text, 1, n)").alias("source"))
+    found = cuts.join(sources.select("source").distinct(), "source").groupBy("line").agg(F.max_by("source", F.length("source")).alias("source"))
+    x = x.join(found, "line", "left").withColumn("source", F.coalesce("source", F.lit("")))
+    rest = F.regexp_replace(F.expr("substring(text, length(source) + 1)"), r"^[\s§¶#:,–-]+|[\s§¶#:,–-]+$", "")
+    return lines.join(x.select("line", "source", F.when(F.col("source") == "", F.col("text")).otherwise(rest).alias("id")), "line")

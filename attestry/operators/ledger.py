@@ -36,15 +36,16 @@ def versions(history: DataFrame) -> DataFrame:
 
 def longest(records: DataFrame, keys: list[str]) -> DataFrame:
     """One record of each key: the longest statement, of equal ones the earliest; blank keys go."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("length"), "seq")
-    return records.where(" and ".join(f"{k} <> ''" for k in keys)).withColumn("n", F.row_number().over(w)).where("n = 1").select(*keys, "seq", "length")
+    first = F.min(F.struct((-F.col("length")).alias("less"), "seq"))
+    return records.where(" and ".join(f"{k} <> ''" for k in keys)).groupBy(*keys).agg(first.alias("x")).select(*keys, "x.seq", (-F.col("x.less")).alias("length"))
 
 
 def longest_names(names: DataFrame) -> DataFrame:
-    """name and the longest name that it begins."""
-    o = names.select(F.col("name").alias("other"))
-    met = names.join(o, F.col("other").startswith(F.col("name")))
-    return met.groupBy("name").agg(F.max(F.struct(F.length("other").alias("n"), "other"))["other"].alias("longest"))
+    """name and the longest name that it begins, of equally long ones the greatest; names are distinct, not empty.
+
+    Each name gives its beginnings, so that the names meet them by equality."""
+    cut = names.select(F.col("name").alias("other"), F.explode(F.sequence(F.lit(1), F.length("name"))).alias("n")).select(F.expr("substring(other, 1, n)").alias("name"), "other")
+    return cut.groupBy("name").agg(F.max(F.struct(F.length("other").alias("n"), "other"))["other"].alias("longest")).join(names, "name", "left_semi")
 
 
 def unique_ids(rows: DataFrame) -> DataFrame:

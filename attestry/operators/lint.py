@@ -43,6 +43,38 @@ def rule_hits(texts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return lines.select("id", F.explode(hit).alias("rule")).groupBy("id", "rule").agg(F.count("*").alias("lines"))
 
 
+# What addresses the reader of a text rather than its organisation, by rule.
+INJECTION_RULES = [
+    ("countermands earlier instructions", r"(?imdU)\b(?:ignore|disregard|forget|override|bypass|skip)\b[^.!?\n]{0,40}?\b(?:instruction|instructions|rule|rules|prompt|prompts|directive|directives|guideline|guidelines|constraint|constraints|everything above|all of the above|the above|prior|previous|preceding)\b"),
+    ("refers to the prompt or the model's own rules", r"(?imdU)\b(?:your\s+(?:system\s+)?(?:prompt|instructions|directives|persona)|(?:the|this|its)\s+system\s+prompt)\b"),
+    ("reassigns the reader's role", r"(?imdU)\b(?:you\s+are\s+(?:now|actually|really)|from\s+now\s+on|act\s+as\s+(?:a|an|the)\b|pretend\s+(?:to\s+be|that\s+you|you)|roleplay|role-play|behave\s+as\s+(?:a|an|if))\b"),
+    ("dictates what the reader should output", r"(?imdU)(?:^|(?<=[.!?]\s)|(?<=[.!?]\n)|\bplease\s+|\byou\s+(?:must|should|will)\s+)(?:reply|respond|answer|output|print|return|state|say|write|report)\s+(?:with|only|exactly|that|the\s+following|as\s+follows)\b"),
+    ("addresses the reader as a model or assistant", r"(?imdU)\b(?:you\s+are\s+(?:an?\s+)?(?:helpful\s+|honest\s+)*(?:ai|a\.i\.|language\s+model|llm|chatbot|chat\s+bot|assistant|copilot)|as\s+an?\s+(?:ai|language\s+model|llm|chatbot|assistant)\s*,\s*you|dear\s+(?:ai|assistant|model|chatbot))\b"),
+    ("asks for citations or grounding to be dropped", r"(?imdU)(?:^|(?<=[.!?:;]\s)|(?<=\n)|\byou\s+|\bplease\s+)(?:do\s+not|don't|never|no\s+need\s+to|stop)\s+(?:\w+\s+){0,2}(?:cite|citing|citation|citations|quote|quoting)\b"),
+    ("claims to speak for the operator", r"(?imdU)^[ \t>*_-]*(?:revised|updated|new|additional|amended|replacement)\s+(?:operator\s+)?instructions?\s*:"),
+    ("contains the refusal sentinel", r"(?dU)\bINSUFFICIENT_CONTEXT\b"),
+    ("imitates this system's fence markers", r"(?dU)\b(?:BEGIN|END)\s+pf-[0-9A-Za-z]+\b"),
+]
+
+
+def injections(texts: DataFrame, rules: list[tuple[str, str]] = INJECTION_RULES, longest: int = 90) -> DataFrame:
+    """id, kind, line and excerpt of every stretch of texts (id, text) that a rule matches; of rules with the same span the first counts.
+
+    Each rule marks its matches in the whole text, which is then cut at the marks; lines count from 1.  Marks that a
+    text has of its own read as U+FFFD.  Excerpts are one line of at most the longest number of characters."""
+    opened, closed = "\u0001", "\u0002"
+    clean = texts.select("id", F.translate("text", opened + closed, "\ufffd\ufffd").alias("text"))
+    hit = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.struct(F.lit(i).alias("ord"), F.lit(k).alias("kind"), F.regexp_replace("text", p, f"{opened}$0{closed}").alias("marked"))) for i, (k, p) in enumerate(rules))))
+    x = clean.select("id", F.explode(hit).alias("h")).select("id", "h.ord", "h.kind", F.split("h.marked", opened).alias("parts"))
+    x = x.select("id", "ord", "kind", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("n"))
+    before = F.translate(F.array_join(F.slice("parts", 1, F.col("n")), ""), closed, "")
+    found = F.substring_index(F.get("parts", F.col("n")), closed, 1)
+    x = x.select("id", "ord", "kind", F.length(before).alias("start"), (F.length(before) - F.length(F.translate(before, "\n", "")) + 1).alias("line"), found.alias("found"))
+    x = x.groupBy("id", "start", "found").agg(F.min_by(F.struct("kind", "line"), "ord").alias("x"))
+    words = F.trim(F.regexp_replace("found", r"(?U)\s+", " "))
+    return x.select("id", "x.kind", "x.line", F.when(F.length(words) <= longest, words).otherwise(F.concat(F.substring(words, 1, longest - 1), F.lit("\u2026"))).alias("excerpt"))
+
+
 def all_findings(*findings: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, findings)
 

@@ -38,15 +38,48 @@ def best(scored: DataFrame, by: str, k: int) -> DataFrame:
     return scored.withColumn("rank", n).where(F.col("rank") <= k)
 
 
-def cosine(a, b):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def dense(vectors: DataFrame, queries: DataFrame, floor: float, k: int) -> DataFrame:
-    """query, id, score and rank of the k nearest vectors at or above floor; queries are few and broadcast."""
-    x = vectors.join(F.broadcast(queries.select(F.col("id").alias("query"), F.col("vector").alias("q"))), F.col("id") != F.col("query"))
-    return best(x.select("query", "id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score")).where(F.col("score") >= floor), "query", k)
+def dense(vectors: DataFrame, queries: DataFrame, floor: float, k: int, block: int = 4096, queries_a_block: int = 512) -> DataFrame:
+    """query, id, score and rank of the k vectors nearest to each query by cosine, at or above floor, itself excepted.
+
+    Vectors and queries are dealt into blocks of about these sizes by a hash of their ids.  Each block of vectors meets
+    each block of queries once, as one matrix product, and hands on its k best for each query; vectors without length or
+    of null are near to nothing."""
+    some = lambda d, *names: d.where("vector is not null and exists(vector, x -> x <> 0)").select(F.col("id").alias(names[0]), F.col("vector").alias(names[1]))
+    kind = dict(queries.dtypes)["id"]
+    vectors, queries = some(vectors, "id", "vector"), some(queries, "query", "qvector")
+    count = lambda d, size, n: d.agg(F.ceil((F.count("*") + 1) / size).cast("int").alias(n))
+    sizes = count(vectors, block, "nv").crossJoin(count(queries, queries_a_block, "nq"))  # one row
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col(n) - 1).cast("bigint")))
+    left = vectors.join(F.broadcast(sizes)).select("id", "vector", F.pmod(F.xxhash64("id"), F.col("nv")).alias("v"), every("nq").alias("q"))
+    right = queries.join(F.broadcast(sizes)).select("query", "qvector", F.pmod(F.xxhash64("query"), F.col("nq")).alias("qb"), every("nv").alias("vb"))
+    near = left.groupBy("v", "q").cogroup(right.groupBy("vb", "qb"))
+
+    def best_of_block(some_vectors, some_queries):
+        import numpy as np
+        import pandas as pd
+
+        if not len(some_vectors) or not len(some_queries):
+            return pd.DataFrame({"query": [], "id": [], "score": []})
+        unit = lambda c: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.array(c.tolist(), dtype="f8"))
+        score = np.round(unit(some_queries["qvector"]) @ unit(some_vectors["vector"]).T, 6)
+        ids = some_vectors["id"].to_numpy()
+        out = []
+        for query, row in zip(some_queries["query"].to_numpy(), score):
+            at = np.flatnonzero((row >= floor) & (ids != query))
+            at = at[np.lexsort((ids[at], -row[at]))[:k]]
+            out.append(pd.DataFrame({"query": query, "id": ids[at], "score": row[at]}))
+        return pd.concat(out)
+
+    return best(near.applyInPandas(best_of_block, f"query {kind}, id {kind}, score double"), "query", k)
+
+
+def control_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Distinct query, id and control of chunks (id, control) whose control is one of queries (query, control) or stands below it, as AC-2(1) below AC-2.
+
+    A chunk's control gives itself and what stands before each of its brackets, so both meet by equality."""
+    above = F.filter(F.sequence(F.lit(1), F.length("control")), lambda n: (n == F.length("control")) | (F.col("control").substr(n + 1, F.lit(1)) == "("))
+    c = chunks.where("control <> ''").distinct().select("id", "control", F.explode(above).alias("n")).select("id", "control", F.expr("substring(control, 1, n)").alias("asked"))
+    return c.join(queries.select("query", F.col("control").alias("asked")).distinct(), "asked").select("query", "id", "control").distinct()
 
 
 def fuse(lexical: DataFrame, near: DataFrame, k: int, c: int = 60) -> DataFrame:

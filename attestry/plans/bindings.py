@@ -133,10 +133,10 @@ def cov_framework(t):
 
 
 @query(_EDGES + """SELECT framework, count(DISTINCT requirement_id) AS n FROM edges WHERE anchor_id IN
-(SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE lower(n_name) = (SELECT lower(n_name) FROM nation WHERE n_nationkey = 3)) GROUP BY 1""")
+(SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE lower(n_name) = 'nation_3') GROUP BY 1""")
 def bun_team(t):
     topics = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("owner"), F.col("s_suppkey").alias("anchor"))
-    return coverage.team_bundle(topics, _edges(t), t.nation.where("n_nationkey = 3").first().n_name)
+    return coverage.team_bundle(topics, _edges(t), "NATION_3")
 
 
 @query(_EDGES + "SELECT requirement_id, CAST(s_nationkey AS INT) AS owner, min(anchor_id) AS via FROM edges JOIN supplier ON anchor_id = s_suppkey GROUP BY 1, 2")
@@ -144,11 +144,11 @@ def bun_view(t):
     return coverage.reverse_lookup(_edges(t), t.supplier.select(F.col("s_nationkey").alias("owner"), F.col("s_suppkey").alias("anchor")))
 
 
-@query("""SELECT p_type AS framework, CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_type IN (SELECT p_type FROM part WHERE p_size = 50 AND p_partkey < 200) THEN 'in-scope'
+@query("""SELECT p_type AS framework, CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_type IN (SELECT p_type FROM part WHERE p_size = 50 AND p_type IN ('ECONOMY', 'LARGE', 'MEDIUM')) THEN 'in-scope'
 WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) THEN 'reachable' ELSE 'unadopted' END AS scope FROM part""")
 def fil_split_adoption(t):
     req = t.part.select(F.col("p_type").alias("framework"), F.col("p_partkey").cast("string").alias("id"))
-    return coverage.split_adoption(req, t.part.where("p_size = 50 and p_partkey < 200").select(F.col("p_type").alias("framework")), t.lineitem.where("l_quantity = 50").select(F.col("l_partkey").cast("string").alias("id")))
+    return coverage.split_adoption(req, t.part.where("p_size = 50 and p_type in ('ECONOMY', 'LARGE', 'MEDIUM')").select(F.col("p_type").alias("framework")), t.lineitem.where("l_quantity = 50").select(F.col("l_partkey").cast("string").alias("id")))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_nationkey % 4 = 0 THEN 'published' WHEN s_acctbal > 5000 THEN 'reviewed' WHEN s_nationkey % 4 = 1 THEN 'published' ELSE 'unreviewed' END AS provenance FROM supplier""")
@@ -236,10 +236,9 @@ def win_version(t):
     return ledger.versions(t.events.select(F.col("user_id").alias("slug"), F.col("event_id").alias("ord"), F.col("event_type").alias("content")))
 
 
-@query("""SELECT source, head, doc_id AS seq, n_chars AS length FROM (SELECT *, row_number() OVER (PARTITION BY source, head ORDER BY n_chars DESC, doc_id) AS n
-FROM (SELECT source, substr(text, 1, 40) AS head, doc_id, n_chars FROM documents)) WHERE n = 1 AND source <> '' AND head <> ''""")
+@query("""SELECT source, lang, doc_id AS seq, n_chars AS length FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1 AND source <> '' AND lang <> ''""")
 def win_dedupe_longest(t):
-    return ledger.longest(t.documents.select("source", F.substring("text", 1, 40).alias("head"), F.col("doc_id").alias("seq"), F.col("n_chars").alias("length")), ["source", "head"])
+    return ledger.longest(t.documents.select("source", "lang", F.col("doc_id").alias("seq"), F.col("n_chars").alias("length")), ["source", "lang"])
 
 
 @query("""WITH n AS (SELECT DISTINCT substr(p_name, 1, 6 + CAST(p_partkey % 5 AS INT)) AS name FROM part)
@@ -323,7 +322,7 @@ _RULES = [("mail", "[a-z0-9._]+@[a-z0-9]"), ("license", "licen[sc]e"), ("digits"
 @query("""WITH l AS (SELECT doc_id AS id, lower(unnest(string_split(text, chr(10)))) AS line FROM documents),
 r AS (SELECT * FROM (VALUES ('mail', '[a-z0-9._]+@[a-z0-9]'), ('license', 'licen[sc]e'), ('digits', '[0-9]{3}\\.[0-9]+'), ('table', '\\| [^|]+ \\|')) v(rule, pattern))
 SELECT id, rule, count(*) AS lines FROM l, r WHERE regexp_matches(line, pattern) GROUP BY 1, 2""".replace("\\\\", "\\"))
-def inj_scan(t):
+def rule_lines(t):
     return lint.rule_hits(t.documents.select(F.col("doc_id").alias("id"), "text"), _RULES)
 
 
@@ -394,7 +393,7 @@ def ret_rerank(t):
     return retrieval.rerank(live, live.where("query % 2 = 0 or id % 3 <> 0").select("query", "id", (F.col("id") % 17).cast("double").alias("score")))
 
 
-@query("SELECT item_id AS quote, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))")
+@query("SELECT item_id AS quote, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def gnd_quote(t):
     return retrieval.quoted(t.benchmark.select(F.col("item_id").alias("quote"), "text"), t.documents.select(F.col("doc_id").alias("id"), "text"))
 
@@ -440,7 +439,7 @@ def prompt_fp(t):
     return sync.fingerprints(old, new)
 
 
-@query(f"""SELECT conv_id, turn, len(list_intersect(regexp_extract_all(lower(text), '[a-z0-9]+'), ['it','its','that','this','these','those','they','them','their'])) > 0 OR len({_TOK.format('text')}) <= 1 AS followup FROM conversations WHERE role = 'user'""")
+@query(f"""SELECT conv_id, turn, len(list_intersect(regexp_extract_all(lower(text), '[a-z'']+'), ['it','its','that','this','these','those','they','them','their','there','same','one','ones','above','below','former','latter'])) > 0 OR len({_TOK.format('text')}) <= 1 AS followup FROM conversations WHERE role = 'user'""")
 def cnv_followup(t):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", keys.is_followup(F.col("text")).alias("followup"))
 
@@ -457,13 +456,21 @@ def htm_items(t):
     return documents.html_items(t.pages.select(F.col("page_id").alias("id"), "html"), "p")
 
 
-_FIXTURE = """(VALUES ('https://localhost:8080/x'), ('http://api.localhost/'), ('http://127.0.0.1/'), ('http://10.0.0.1/'), ('https://x.internal/a'), ('https://box.local'), ('https://example.com/'), ('no url'), ('http://172.20.1.1:9'), ('http://172.40.1.1')) v(url)"""
+_URLS = (
+    "https://localhost:8080/x http://api.localhost/ http://127.0.0.1/ http://10.0.0.1/ https://x.internal/a https://box.local https://example.com/ no-url http://172.20.1.1:9 http://172.40.1.1 https://127.example.com "
+    "https://10.example.com/ http://[::1]:80/ http://u@[fd00::1]/ http://[fe80::1] http://[2606:4700::1]/ http://256.1.1.1 http://10.0.0.1.nip.io http://user:pw@192.168.1.1/ http://240.0.0.1"
+).split()
+_SCHEME, _OCTET = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?", r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
-@query(f"""SELECT url, CASE WHEN h IS NULL THEN 'third-party' WHEN h = 'localhost' OR h LIKE '%.localhost' OR h LIKE '127.%' THEN 'local' WHEN h LIKE '%.local' OR h LIKE '%.internal' OR regexp_matches(h, '^(10\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)')
-THEN 'self-hosted' ELSE 'third-party' END AS exposure FROM (SELECT url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^:/?#]+)', 1)), '') AS h FROM {_FIXTURE})""".replace("\\\\", "\\"))
+@query(rf"""WITH u AS (SELECT url FROM pages UNION ALL SELECT unnest({_URLS!r}) AS url),
+h AS (SELECT url, lower(coalesce(nullif(regexp_extract(url, '{_SCHEME}\[([0-9A-Fa-f:.]+)\]', 1), ''), nullif(regexp_extract(url, '{_SCHEME}([^\[\]:/?#]+)', 1), ''))) AS h FROM u),
+q AS (SELECT *, regexp_matches(h, '^{_OCTET}(\.{_OCTET}){{3}}$') AS quad, contains(h, ':') AS six FROM h)
+SELECT url, CASE WHEN h IS NULL THEN 'third-party' WHEN h = 'localhost' OR h LIKE '%.localhost' OR (quad AND starts_with(h, '127.')) OR (six AND h = '::1') THEN 'local'
+WHEN h LIKE '%.local' OR h LIKE '%.internal' OR (quad AND regexp_matches(h, '{keys.PRIVATE}')) OR (six AND regexp_matches(h, '{keys.PRIVATE6}')) THEN 'self-hosted' ELSE 'third-party' END AS exposure FROM q""")
 def cls_provider(t):
-    return t.spark.sql(f"SELECT url FROM VALUES {_FIXTURE[8:-8]} AS v(url)").select("url", keys.exposure(F.col("url")).alias("exposure"))
+    fixture = t.spark.range(1).select(F.explode(F.array(*map(F.lit, _URLS))).alias("url"))
+    return t.pages.select("url").unionByName(fixture).select("url", keys.exposure(F.col("url")).alias("exposure"))
 
 
 @query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS calls, round(sum(value), 2) AS value FROM events GROUP BY 1, 2""")
@@ -471,3 +478,6 @@ def stream_ledger(t):
     from ..streaming.ledger import windowed_calls
 
     return windowed_calls(t.events)
+
+
+from . import citations  # noqa: E402, F401  (adds its queries to the same registry)

@@ -480,4 +480,4 @@ def stream_ledger(t):
     return windowed_calls(t.events)
 
 
-from . import citations  # noqa: E402, F401  (adds its queries to the same registry)
+from . import citations, selections  # noqa: E402, F401  (they add their queries to the same registry)

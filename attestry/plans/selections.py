@@ -39,7 +39,7 @@ def ret_candidates(t):
     return selection.candidates(entries, t.benchmark.select(F.col("item_id").alias("query"), "text"), published)
 
 
-# Orders propose suppliers; those that ship from the first fifteen nations are candidates.
+# Orders propose suppliers; those of the first fifteen nations are candidates.
 @query("""WITH c AS (SELECT s_suppkey FROM supplier WHERE s_nationkey < 15),
 x AS (SELECT l_orderkey AS requirement, l_linenumber AS pos, l_suppkey % 50 AS control, l_returnflag <> 'A' AND l_discount > 0.02 AS good, l_suppkey % 50 IN (SELECT s_suppkey FROM c) AS named FROM lineitem),
 y AS (SELECT *, min(pos) FILTER (WHERE good AND named) OVER (PARTITION BY requirement, control) AS first FROM x)
@@ -89,7 +89,7 @@ def txt_pack(t):
     return x.select("id", "piece", F.length("text").alias("n_chars"), keys.digest(F.col("text")).alias("digest"))
 
 
-# An order's document cites the sizes of its parts, its source those of its suppliers.
+# An order's document cites the last digits of its parts, its source those of its suppliers.
 @query("""WITH t AS (SELECT l_orderkey AS id, list(DISTINCT CAST(l_suppkey % 10 AS VARCHAR)) AS want, list(DISTINCT CAST(l_partkey % 10 AS VARCHAR)) AS have FROM lineitem GROUP BY 1),
 x AS (SELECT id, list_sort(list_filter(want, lambda w: NOT list_contains(have, w))) AS missing FROM t)
 SELECT id, CAST(len(missing) AS INT) AS n, array_to_string(missing, ',') AS missing FROM x WHERE len(missing) > 0""")

@@ -44,6 +44,8 @@ def powers(base: int, n: int) -> np.ndarray:
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[list(WORD_SEPARATORS)] = True
+NOT_ALNUM = np.ones(256, bool)  # between words of letters and digits: ASCII but for these
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BYTE = constants(1, 256)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
@@ -76,9 +78,9 @@ def parts(batch: pa.RecordBatch, text: int, limit: int = 4 * SLICE_BYTES) -> Ite
         yield batch.slice(at, end - at)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and where each row's words begin (one more entry than rows)."""
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True  # a row never continues the last row's word
     begins, ends = inside.copy(), inside.copy()

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20  # texts are hashed about this many bytes at a time
@@ -145,6 +147,41 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+COPIES = 4096  # equal rows that one task makes at a time
+
+
+def each_copy(rows: DataFrame, number: str) -> DataFrame:
+    """rows with the column number, which counts equal rows from 0: the same whatever order they came in.
+
+    Equal rows are counted and made anew.  Those of a row that came very often are made in stretches by several tasks."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    few, many = counted.where(F.col("copies") <= COPIES), counted.where(F.col("copies") > COPIES)
+    few = few.select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias(number))
+    many = many.select(*rows.columns, "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))).alias("first"))
+    last = F.least(F.col("first") + COPIES, "copies") - 1
+    many = many.repartition(*rows.columns, "first").select(*rows.columns, F.explode(F.sequence(F.col("first"), last)).alias(number))
+    return few.unionByName(many)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores added a name that df doesn't have."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def mapped(df: DataFrame, run: Callable, shape: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, shape), whatever characters the columns' names have."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(run, T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(shape)])).toDF(*shape.names)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

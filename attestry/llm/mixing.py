@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import parts, stored
+from .kernel import column, fresh, mapped, parts, stored
 
 BLOCK = 256  # words
 SHARD_WORDS = 1 << 20
@@ -186,10 +186,7 @@ def mixture(documents: DataFrame, ratio: float = 1.5, weights: tuple[float, ...]
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("n_shards", F.lit(0)).alias("n_shards"), F.col("spot.shard").alias("first_shard"), F.col("spot.place").alias("first_place"))
 
 
-DRAWN, ROW, SHARD, PLACE = "attestry_drawn", "attestry_row", "attestry_shard", "attestry_place"
-
-
-def _written(columns: list[str], text: int):
+def _written(columns: list[str], text: int, shard: str, place: str):
     """Rows with their drawn (first, taken) behind the columns: the text becomes the drawn words."""
 
     def run(batches):
@@ -201,7 +198,7 @@ def _written(columns: list[str], text: int):
                 out.append(whole if sum(n for _, n in own) == len(words) else b" ".join(w for a, n in own for w in words[a : a + n]).decode())
             arrays = [batch.column(k) for k in range(len(columns))]
             arrays[text] = pa.array(out, arrays[text].type)
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column(len(columns) + 1), batch.column(len(columns) + 2)], [*columns, SHARD, PLACE])
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(len(columns) + 1), batch.column(len(columns) + 2)], [*columns, shard, place])
 
     return run
 
@@ -215,14 +212,15 @@ def mixed_documents(documents: DataFrame, ratio: float = 1.5, weights: tuple[flo
     one; they are ordered by their texts, so reruns agree but for which of two equal texts of one id is drawn.
     An empty table stays empty; other columns go along, whatever their names.
     """
-    columns = documents.columns
-    held = stored(documents.withColumn(ROW, F.monotonically_increasing_id()), "held")
-    sized = stored(_sized(held, F.col(ROW)), "sized")
+    columns, (row, drawn_, shard, place) = documents.columns, (fresh(documents, f"attestry_{x}") for x in ("row", "drawn", "shard", "place"))
+    held = stored(documents.withColumn(row, F.monotonically_increasing_id()), "held")
+    sized = stored(_sized(held, F.col(row)), "sized")
     plan = _plan(sized, ratio, weights)
     if not plan:
         return documents.limit(0)
-    drawn = draws(sized, plan, seed).groupBy(F.col("row").alias(ROW), "epoch").agg(F.collect_list(F.struct("first", "taken")).alias(DRAWN), F.min(F.struct("shard", "place")).alias("spot"))
-    drawn = drawn.select(ROW, DRAWN, F.col("spot.shard").alias(SHARD), F.col("spot.place").alias(PLACE))
-    shape = T.StructType([*documents.schema, T.StructField(SHARD, T.LongType()), T.StructField(PLACE, T.LongType())])
-    mixed = held.join(drawn, ROW).select(*columns, DRAWN, SHARD, PLACE).mapInArrow(_written(columns, columns.index("text")), shape)
-    return mixed.repartition(SHARD).sortWithinPartitions(SHARD, PLACE).select(*columns)
+    drawn = draws(sized, plan, seed).groupBy("row", "epoch").agg(F.collect_list(F.struct("first", "taken")).alias("drawn"), F.min(F.struct("shard", "place")).alias("spot"))
+    drawn = drawn.select(F.col("row").alias(row), F.col("drawn").alias(drawn_), F.col("spot.shard").alias(shard), F.col("spot.place").alias(place))
+    shape = T.StructType([*documents.schema, T.StructField(shard, T.LongType()), T.StructField(place, T.LongType())])
+    own = [column(c) for c in columns]
+    mixed = mapped(held.join(drawn, row).select(*own, drawn_, shard, place), _written(columns, columns.index("text"), shard, place), shape)
+    return mixed.repartition(F.col(shard)).sortWithinPartitions(shard, place).select(*own)

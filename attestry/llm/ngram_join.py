@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, constants, dropped, mix64, signed, slices, stored, word_hashes, word_spans
+from .kernel import U64, constants, dropped, fresh, mix64, signed, slices, stored, word_hashes, word_spans
 
 LEAST_BITS, MOST_BITS = 16, 23  # the frequency table has a cell for 64 n-grams; 8 MiB at most are broadcast
 CHUNK = 4096
@@ -605,6 +605,6 @@ def linked_documents(documents: DataFrame, n: int = 5, threshold: Fraction = Fra
 
 def distinct_documents(documents: DataFrame, n: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
     """The rows of documents whose doc_id is the smallest of its component; rows with a null id stay, and repeated rows of what stays."""
-    links = linked_documents(documents, n, threshold)
-    gone = links.where("doc_id <> component_id").select(F.col("doc_id").alias("attestry_gone")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("attestry_gone"), "left_anti")
+    links, name = linked_documents(documents, n, threshold), fresh(documents, "attestry_gone")
+    gone = links.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

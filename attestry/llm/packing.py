@@ -16,13 +16,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import stored
-from .token_count import PATTERN, byte_letters
+from .kernel import each_copy, stored
+from .token_count import PATTERN, SHORT, byte_letters, counter
 
 GROUP = 4096
+REMEMBERED = 300_000  # parts whose identifiers a worker keeps
 
 
 @lru_cache(maxsize=2)
@@ -36,13 +37,44 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+class Identifiers(dict):
+    """Identifiers of split parts, as little-endian bytes.  Texts are split as token_count splits them; a short part goes to the
+    tiktoken library, a longer one, of any length, to the merger of token_count."""
+
+    def __init__(self, path: str):
+        self.counter, self.short = counter(path), encoding(path).encode_ordinary
+
+    def __missing__(self, part: str) -> bytes:
+        if len(part) > SHORT:
+            return np.array(self.counter.identifiers(part), "<u4").tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[part] = ids = np.array(self.short(part), "<u4").tobytes()
+        return ids
+
+    def of(self, text: str) -> np.ndarray:
+        split, found, at = self.counter.split, [], 0
+        for m in self.counter.added.finditer(text) if self.counter.added else ():
+            found += map(self.__getitem__, split(text[at : m.start()]))
+            found.append(np.array([self.counter.added_ids[m[0]]], "<u4").tobytes())
+            at = m.end()
+        found += map(self.__getitem__, split(text[at:] if at else text))
+        return np.frombuffer(b"".join(found), "<u4")
+
+
+@lru_cache(maxsize=2)
+def identifiers(path: str) -> Identifiers:
+    """A worker's identifiers, which keep what they have looked up."""
+    return Identifiers(path)
+
+
 def _pieces(path: str, length: int, end: int, keys: int):
     def run(batches):
-        encode = encoding(path)
+        encode = identifiers(path).of
         for batch in batches:
             rows = [[] for _ in range(5)]
             for i, text in enumerate(batch.column(keys)):
-                ids = np.append(np.asarray(encode.encode_to_numpy(text.as_py() or "", allowed_special="all"), "<u4"), np.uint32(end)).astype("<u4")
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
                 first = len(ids) % length or length
                 at = 0
                 for piece in range(1 + (len(ids) - first) // length):
@@ -239,9 +271,7 @@ def packed_pieces(documents: DataFrame, vocabulary: str, length: int = 1024, end
     shape = "piece int, start long, length long, ids_crc32 long"
     pieces = stored(docs.mapInArrow(_pieces(vocabulary, length, end, len(keys)), f"{held}, {shape}"), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
-    # Equal pieces of one key are counted, so that a key of many rows is dealt to all groups.
-    own = [*(f"key{n}" for n in range(len(keys))), "piece", "ids_crc32"]
-    copy = F.row_number().over(Window.partitionBy(*own).orderBy("start", "length"))
-    dealt = pieces.withColumn("copy", copy).select(F.pmod(F.xxhash64(*own, "copy"), F.lit(groups)).alias("attestry_group"), *pieces.columns)
+    # Equal pieces are counted and numbered, so that a key of many rows is dealt to all groups.
+    dealt = each_copy(pieces, "copy").select(F.pmod(F.xxhash64(*pieces.columns, "copy"), F.lit(groups)).alias("attestry_group"), *pieces.columns)
     names = ", ".join(f"`{k}` long" for k in keys)
     return dealt.groupBy("attestry_group").applyInArrow(_packed(length, len(keys), list(keys)), f"{names}, {shape}, sequence_id long, offset long")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, mix64, slices, word_hashes, word_spans
+from .kernel import U64, mapped, mix64, slices, word_hashes, word_spans
 
 SAMPLE = 20_000  # labelled documents at most that the model is fitted on
 TREES, DEPTH, BINS, RATE, LEAST = 80, 4, 64, 0.15, 1.0  # LEAST: hessian of a leaf
@@ -217,4 +217,4 @@ def _only(trees: Trees):
 def accepted_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """The rows of documents whose score reaches threshold, with all their columns."""
     trees = train(documents, labels, sample)
-    return documents.mapInArrow(_scored(trees, documents.columns.index("text"), documents.columns, threshold), documents.schema)
+    return mapped(documents, _scored(trees, documents.columns.index("text"), documents.columns, threshold), documents.schema)

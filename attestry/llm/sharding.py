@@ -1,7 +1,8 @@
 """Shards of near-equal bytes by histogram sort, with DataFrame functions only.
 
 Rows are ordered by a 63-bit key: 40 bits of the text's hash, so that equal texts stand together,
-then 23 bits of the id's hash, so that a large group of equal texts can be cut.  Splitters are
+then 23 bits of the hash of the id and of a number that parts rows of one id and text, so that a large group
+of equal texts can be cut.  Splitters are
 found without sorting: each pass counts the exact bytes in the cells between candidate keys and
 narrows the interval of every splitter that is out of tolerance.  Cells end between groups of
 equal texts unless a single group is too large for the tolerance.  Then rows move once.
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import stored
+from .kernel import each_copy, fresh, stored
 
 GROUP_BITS = 23
 CELLS = 256  # of an interval in each pass; at most CELLS * shards sums reach the driver
@@ -23,10 +24,13 @@ def byte_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def sort_key(doc_id: Column, text: Column) -> Column:
-    held = F.coalesce(text, F.lit(""))
-    group = F.shiftleft(F.shiftrightunsigned(F.xxhash64(held), 24), GROUP_BITS)
-    return group.bitwiseOR(F.xxhash64(doc_id).bitwiseAND((1 << GROUP_BITS) - 1))
+def group_key(text: Column) -> Column:
+    """The part of the sort key that equal texts share."""
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 24), GROUP_BITS)
+
+
+def sort_key(group: Column, doc_id: Column, copy: Column) -> Column:
+    return group.bitwiseOR(F.xxhash64(doc_id, copy).bitwiseAND((1 << GROUP_BITS) - 1))
 
 
 def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001) -> list[int]:
@@ -76,10 +80,15 @@ def shard_of(key: Column, bounds: list[int]) -> Column:
 
 
 def sharded_documents(documents: DataFrame, shards: int = 8) -> DataFrame:
-    """documents with the column attestry_shard in place of nothing else: rows of shards of near-equal UTF-8 bytes."""
-    sized = documents.select(sort_key(F.col("doc_id"), F.col("text")).alias("key"), byte_size(F.col("text")).alias("size"))
-    bounds = splitters(stored(sized, "sizes"), shards)
-    return documents.withColumn("attestry_shard", shard_of(sort_key(F.col("doc_id"), F.col("text")), bounds))
+    """documents with a further column attestry_shard, or with underscores added where they have that one: rows of shards of near-equal UTF-8 bytes.
+
+    Equal rows are parted by their numbers in a stored copy, so which of them goes where is open."""
+    name = fresh(documents, "attestry_shard")
+    held = stored(documents.select(F.struct("*").alias("all"), F.monotonically_increasing_id().alias("row")), "held")
+    text, doc_id = F.col("all.text").cast("string"), F.col("all.doc_id").cast("long")
+    key = sort_key(group_key(text), doc_id, F.col("row"))
+    bounds = splitters(stored(held.select(key.alias("key"), byte_size(text).alias("size")), "sizes"), shards)
+    return held.select("all", shard_of(key, bounds).alias("shard")).select("all.*", F.col("shard").alias(name))
 
 
 def shard_table(documents: DataFrame, shards: int = 8) -> DataFrame:
@@ -87,17 +96,17 @@ def shard_table(documents: DataFrame, shards: int = 8) -> DataFrame:
 
     size is the UTF-8 bytes of the text and 1; a null text has none.  Shards have near-equal sums of
     sizes, equal texts share a shard unless a splitter has to cut their group, and slots count from
-    0 without gaps.  Rows are placed one by one, so repeated rows have places of their own
-    (which of them has which is open); null ids are placed like others.  An empty table gives an
+    0 without gaps.  Rows are placed one by one, so repeated rows have places of their own: rows equal in id and text are
+    counted, and the count parts them, also where ids are null.  An empty table gives an
     empty result; other columns are ignored.
     """
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    rows = documents.select(doc_id.alias("doc_id"), byte_size(text).alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"), sort_key(doc_id, text).alias("key"))
-    rows = stored(rows, "sizes")
+    rows = documents.select(doc_id.alias("doc_id"), byte_size(text).alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"), group_key(text).alias("group"))
+    rows = stored(each_copy(rows, "copy").withColumn("key", sort_key(F.col("group"), F.col("doc_id"), F.col("copy"))).drop("group"), "sizes")
     bounds = splitters(rows, shards)
     buckets = max(1, -(-rows.count() // (shards * BUCKET_ROWS)))
-    placed = rows.withColumn("shard", shard_of(F.col("key"), bounds)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)))
+    placed = rows.withColumn("shard", shard_of(F.col("key"), bounds)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key", "copy"), F.lit(buckets)))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    numbered = placed.withColumn("place", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("key", "doc_id", "size")))
+    numbered = placed.withColumn("place", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("key", "doc_id", "size", "copy")))
     return numbered.join(before, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("place") - 1).alias("slot"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SLICE_BYTES, U64, mix64, parts, powers, signed, slices, stored, word_hashes, word_spans
+from .kernel import SLICE_BYTES, U64, column, fresh, mapped, mix64, parts, powers, signed, slices, stored, word_hashes, word_spans
 
 ROUNDS = 4
 RUN_ROUNDS = {0, 2}
@@ -321,10 +321,10 @@ def repeated_ranges(documents: DataFrame, window: int = 35) -> DataFrame:
     return ranges.groupBy(F.col("k1").alias(K1), F.col("k2").alias(K2)).agg(F.collect_list(F.struct("first", "last")).alias(RANGES))
 
 
-def keyed(documents: DataFrame) -> DataFrame:
+def keyed(documents: DataFrame, k1: str = K1, k2: str = K2) -> DataFrame:
     """documents with the keys of their texts: the id and a hash of the text, or two hashes of it where the id is null."""
     text = F.col("text").cast("string")
-    return documents.withColumns({K1: F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text)), K2: F.xxhash64(text)})
+    return documents.withColumns({k1: F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text)), k2: F.xxhash64(text)})
 
 
 def without_repeats(documents: DataFrame, window: int = 35) -> DataFrame:
@@ -337,9 +337,10 @@ def without_repeats(documents: DataFrame, window: int = 35) -> DataFrame:
     places of their own, so all their windows repeat; the texts of a doc_id that has several are
     judged and cut each by itself, as are those of rows with a null doc_id.  An empty table stays empty.
     """
-    held = keyed(documents).join(repeated_ranges(keyed(documents), window), [K1, K2], "left")
-    columns = documents.columns
-    return held.select(*columns, RANGES).mapInArrow(_cut(window, columns, columns.index("text"), False), documents.schema)
+    columns, names = documents.columns, [fresh(documents, x) for x in (K1, K2, RANGES)]
+    ranges = repeated_ranges(keyed(documents.select("doc_id", "text")), window).select(K1, K2, RANGES).toDF(*names)
+    held = keyed(documents, *names[:2]).join(ranges, names[:2], "left")
+    return mapped(held.select(*map(column, columns), names[2]), _cut(window, columns, columns.index("text"), False), documents.schema)
 
 
 def repeat_digests(documents: DataFrame, window: int = 35) -> DataFrame:

@@ -52,7 +52,8 @@ class Counter(dict):
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
-        added = [x["content"] for x in spec["added_tokens"]]
+        self.added_ids = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        added = self.added_ids
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.split = regex.compile(PATTERN).findall
 
@@ -66,7 +67,7 @@ class Counter(dict):
         return n
 
     def merges(self, symbol: list[int]) -> int:
-        """How many merges the symbols undergo."""
+        """How many merges the symbols undergo; of those merged the first stands for them, others become -1."""
         n, ranks = len(symbol), self.ranks
         heap = []
         for i in range(n - 1):
@@ -102,6 +103,12 @@ class Counter(dict):
                     push(heap, met >> 20 << 40 | h)
         return done
 
+    def identifiers(self, part: str) -> list[int]:
+        """The identifiers of a split part."""
+        symbols = [self.symbols[b] for b in part.encode()]
+        self.merges(symbols)
+        return [s for s in symbols if s >= 0]
+
     def count(self, text: str) -> int:
         if self.added is None:
             return sum(map(self.__getitem__, self.split(text)))

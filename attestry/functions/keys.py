@@ -14,6 +14,15 @@ STOPWORDS = (
     "a an and are as at be been by do does for from had has have how i if in into is it its of on or our that the their them there these they "
     "this to was we were what when where which who why will with you your"
 ).split()
+# Acronyms that texts write out, with their words.
+ACRONYMS = {
+    "mfa": "multi factor authentication", "2fa": "two factor authentication", "sso": "single sign on", "rbac": "role based access control", "iam": "identity access management",
+    "pii": "personally identifiable information", "phi": "protected health information", "ephi": "electronic protected health information", "vpn": "virtual private network",
+    "edr": "endpoint detection response", "dlp": "data loss prevention", "siem": "security information event management", "rto": "recovery time objective",
+    "rpo": "recovery point objective", "sla": "service level agreement", "bcdr": "business continuity disaster recovery",
+}
+# Words that are followed closely by a citation.
+CUE = r"(?i)(?:\b(?:hitrust|csf|cfr|hipaa)\b|§|\[)[^\]\n]{0,12}"
 # The private, link-local, documentation and reserved ranges of addresses.
 PRIVATE = r"^(0\.|10\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.0\.[02]\.|192\.168\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2(4[0-9]|5[0-5])\.)"
 PRIVATE6 = r"^((f[cd]|fe[89ab])[0-9a-f]{0,2}:|2001:db8:)"
@@ -37,11 +46,25 @@ def digest(text: Column, length: int = 12) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case [a-z0-9]+ runs of two or more characters outside the stopwords, in order, unstemmed."""
-    words = F.regexp_extract_all(F.lower(F.regexp_replace(text, CONTROL_ID, " ")), F.lit("([a-z0-9]+)"), 1)
+    """Lower-case [a-z0-9]+ runs of two or more characters outside the stopwords and ids, in order, unstemmed."""
+    for id_ in (CONTROL_ID, REGULATION_ID, CATALOG_ID):
+        text = F.regexp_replace(text, id_, " ")
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
 
 
+def spelled_out(word: Column) -> Column:
+    """The words of an acronym without stopwords, else none."""
+    known = F.create_map(*(F.lit(x) for k, v in ACRONYMS.items() for x in (k, " ".join(w for w in v.split() if w not in STOPWORDS))))
+    words = F.try_element_at(known, word)
+    return F.when(words.isNull(), F.array().cast("array<string>")).otherwise(F.split(words, " "))
+
+
+def cued(text: Column, id_: Column) -> Column:
+    """Whether the text has the id shortly behind a word that announces a citation."""
+    return F.regexp_like(text, F.concat(F.lit(CUE + r"\Q"), id_, F.lit(r"\E")))
+
+
 def identifiers(text: Column) -> Column:
     """Control (upper), regulation and catalog (lower) ids, the first of equal ones."""
     return F.array_distinct(F.concat(

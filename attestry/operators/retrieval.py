@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import tokens
+from ..functions.keys import spelled_out, tokens
+from ..functions.stem import stems
+
+
+def with_terms(words: DataFrame) -> DataFrame:
+    """words (word, ...) with terms: each word's stem and, of an acronym, the words that it stands for.
+
+    Only distinct words are stemmed; their stems are joined back."""
+    terms = F.array_distinct(F.concat(F.array("stem"), spelled_out(F.col("word"))))
+    return words.join(stems(words).select("word", terms.alias("terms")), "word")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(id, term, tf) of chunks (id, text)."""
-    return chunks.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf) of chunks (id, text); terms are stems and the words of acronyms."""
+    words = chunks.select("id", F.explode(tokens(F.col("text"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    return with_terms(words).select("id", F.explode("terms").alias("term"), "n").groupBy("id", "term").agg(F.sum("n").alias("tf"))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """Distinct (query, term) of queries (query, text)."""
+    words = queries.select("query", F.explode(tokens(F.col("text"))).alias("word")).distinct()
+    return with_terms(words).select("query", F.explode("terms").alias("term")).distinct()
+
+
+def n_terms(words: Column) -> Column:
+    """How many terms an array of tokens stands for."""
+    return F.aggregate(words, F.lit(0), lambda n, w: n + 1 + F.size(spelled_out(w)))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -20,12 +41,14 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query, id, score and rank of the k best chunks of each query.
 
-    Postings are cut to the queries' terms by a semi-join before they meet the queries, and lengths come
-    from the token arrays, so the corpus is tokenised in one pass and only matching postings are exchanged."""
-    sized = chunks.select("id", tokens(F.col("text")).alias("t")).select("id", "t", F.size("t").alias("len"))
+    The corpus' distinct words are stemmed, and those with a term that is asked for cut the postings before they are
+    exchanged; lengths come from the token arrays."""
+    sized = chunks.select("id", tokens(F.col("text")).alias("t")).select("id", "t", n_terms(F.col("t")).alias("len"))
     whole = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    posts = sized.select("id", "len", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    asked = asked_terms(queries)
+    words = sized.select("id", "len", F.explode("t").alias("word"))
+    known = with_terms(words.select("word").distinct()).select("word", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    posts = words.join(known, "word").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     x = posts.join(document_frequency(posts), "term").join(asked, "term").join(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import coverage, crosswalk, documents, drift, ledger, lint, retrieval, sync
+from . import stemming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -326,10 +327,16 @@ def rule_lines(t):
     return lint.rule_hits(t.documents.select(F.col("doc_id").alias("id"), "text"), _RULES)
 
 
-_TOK = """list_filter(regexp_extract_all(lower(regexp_replace({0}, '\\b([A-Za-z]{{2}}-[0-9]+(?:\\([0-9]+\\))?)', ' ', 'g')), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN (""" + ", ".join(f"'{w}'" for w in keys.STOPWORDS) + "))"
-_BM25 = f"""WITH c AS (SELECT doc_id AS id, {_TOK.format('text')} AS t FROM documents), w AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM c),
-q AS (SELECT item_id AS query, unnest(list_distinct({_TOK.format('text')})) AS term FROM benchmark),
-p AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM c) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+_TOK = """list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace({0}, '\\b([A-Za-z]{{2}}-[0-9]+(?:\\([0-9]+\\))?)', ' ', 'g'),
+  '\\b([0-9]{{3}}\\.[0-9]+(?:\\([A-Za-z0-9]+\\))*)', ' ', 'g'), '(?i)\\b([0-9]{{1,2}}\\.(?:[a-z]{{1,2}}|[0-9]{{2}}))\\b', ' ', 'g')), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN (""" + ", ".join(f"'{w}'" for w in keys.STOPWORDS) + "))"
+_BM25 = f"""WITH c AS (SELECT doc_id AS id, {_TOK.format('text')} AS t FROM documents),
+i AS (SELECT item_id AS query, {_TOK.format('text')} AS t FROM benchmark),
+vocab AS (SELECT unnest(t) AS word FROM c UNION SELECT unnest(t) FROM i),
+{stemming.TERMS},
+x AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS word FROM c) JOIN terms USING (word) GROUP BY ALL),
+l AS (SELECT c.id, coalesce(sum(tf), 0) AS len FROM c LEFT JOIN x ON c.id = x.id GROUP BY c.id), w AS (SELECT count(*) AS n, avg(len) AS avg FROM l),
+q AS (SELECT DISTINCT query, term FROM (SELECT query, unnest(t) AS word FROM i) JOIN terms USING (word)),
+p AS (SELECT id, len, term, tf FROM x JOIN l USING (id) WHERE term IN (SELECT term FROM q)),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT query, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg))), 4) AS score FROM p JOIN f USING (term) JOIN q USING (term), w GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INT) AS rank FROM s)
@@ -345,7 +352,8 @@ def ret_bm25(t):
     return _bm25(t, 10)
 
 
-@query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY 1")
+@query(f"""WITH d AS (SELECT doc_id, unnest({_TOK.format('text')}) AS word FROM documents), vocab AS (SELECT DISTINCT word FROM d), {stemming.TERMS}
+SELECT term, count(DISTINCT doc_id) AS df FROM d JOIN terms USING (word) GROUP BY 1""")
 def agg_df(t):
     return retrieval.document_frequency(retrieval.postings(t.documents.select(F.col("doc_id").alias("id"), "text")))
 
@@ -480,4 +488,4 @@ def stream_ledger(t):
     return windowed_calls(t.events)
 
 
-from . import citations, selections  # noqa: E402, F401  (they add their queries to the same registry)
+from . import citations, searches, selections  # noqa: E402, F401  (they add their queries to the same registry)

@@ -488,4 +488,4 @@ def stream_ledger(t):
     return windowed_calls(t.events)
 
 
-from . import citations, searches, selections  # noqa: E402, F401  (they add their queries to the same registry)
+from . import catalogs, citations, searches, selections  # noqa: E402, F401  (they add their queries to the same registry)

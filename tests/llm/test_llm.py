@@ -349,7 +349,7 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)

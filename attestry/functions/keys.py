@@ -47,9 +47,10 @@ def digest(text: Column, length: int = 12) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case [a-z0-9]+ runs of two or more characters outside the stopwords and ids, in order, unstemmed."""
+    blanked = text
     for id_ in (CONTROL_ID, REGULATION_ID, CATALOG_ID):
-        text = F.regexp_replace(text, id_, " ")
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+        blanked = F.regexp_replace(blanked, id_, " ")
+    words = F.regexp_extract_all(F.lower(F.when(text.rlike("[0-9]"), blanked).otherwise(text)), F.lit("([a-z0-9]+)"), 1)
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
 
 

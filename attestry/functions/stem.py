@@ -75,7 +75,9 @@ def stem(word: str) -> str:
 
 
 def stems(words: DataFrame) -> DataFrame:
-    """word and stem of the distinct words of words (word): a vocabulary, which grows far slower than the texts it comes from."""
+    """word and stem of the distinct words of words (word): a vocabulary, which grows far slower than the texts it comes from.
+
+    A vocabulary has few bytes for the work that it is, so it is dealt to all tasks instead of the few that its bytes would get."""
 
     def run(batches):
         import pyarrow as pa
@@ -84,4 +86,5 @@ def stems(words: DataFrame) -> DataFrame:
             own = batch.column(0)
             yield pa.RecordBatch.from_arrays([own, pa.array([stem(w) for w in own.to_pylist()], pa.string())], ["word", "stem"])
 
-    return words.where("word is not null").select("word").distinct().mapInArrow(run, "word string, stem string")
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.where("word is not null").select("word").distinct().repartition(tasks).mapInArrow(run, "word string, stem string")

@@ -84,22 +84,27 @@ def stands(own: list[list[str]], readings: list[list[str]], title: list[str], fe
     return False
 
 
-def seeds(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """quote and word of asked (quote, fragments): of one fragment, the rarest words by held (id, word), one more than it may miss.
+EXTRA = 4  # words of a fragment that a candidate must have
 
-    A text that has the quote lacks at most that many of the fragment's words, so it has one of these.  Of several
-    fragments the first may be a title; among the others the one with the fewest texts to look at is taken."""
+
+def seeds(asked: DataFrame, held: DataFrame, extra: int = EXTRA) -> DataFrame:
+    """quote, word, times and need of asked (quote, fragments): of one fragment, the rarest words by held (id, word), `extra` more than it may miss, or all.
+
+    A text that has the quote lacks at most so many of the fragment's words as it may miss, so it has the others of these: need of them, each word counted as
+    often as the fragment has it.  Of several fragments the first may be a title; among the others the one with the fewest texts to look at is taken."""
     longest = F.when(F.size("fragments") > 1, F.slice("fragments", F.lit(2), F.size("fragments") - 1)).otherwise(F.col("fragments"))
     f = asked.select("quote", F.posexplode(longest).alias("fragment", "words"))
     allowed = F.when(F.size("words") >= EXACT_BELOW, F.greatest(F.lit(1), F.floor(F.size("words") * MISSES))).otherwise(0)
-    w = f.select("quote", "fragment", (allowed + 1).alias("enough"), F.posexplode("words").alias("pos", "word"))
+    w = f.select("quote", "fragment", allowed.cast("int").alias("allowed"), F.posexplode("words").alias("pos", "word"))
     df = held.join(w.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     w = w.join(df, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     own = Window.partitionBy("quote", "fragment")
-    w = w.withColumn("n", F.row_number().over(own.orderBy("df", "pos"))).where("n <= enough")
+    w = w.withColumn("n", F.row_number().over(own.orderBy("df", "pos"))).where(F.col("n") <= F.col("allowed") + extra)
     cost = w.groupBy("quote", "fragment").agg(F.sum("df").alias("cost"))
     best = cost.groupBy("quote").agg(F.min(F.struct("cost", "fragment"))["fragment"].alias("fragment"))
-    return w.join(best, ["quote", "fragment"]).select("quote", "word").distinct()
+    w = w.join(best, ["quote", "fragment"])
+    need = w.groupBy("quote").agg((F.count("*") - F.first("allowed")).alias("need"))
+    return w.groupBy("quote", "word").agg(F.count("*").alias("times")).join(need, "quote")
 
 
 def grounded(quotes: DataFrame, texts: DataFrame, fewest: int = QUOTE_WORDS) -> DataFrame:
@@ -114,7 +119,7 @@ def grounded(quotes: DataFrame, texts: DataFrame, fewest: int = QUOTE_WORDS) ->
     total = F.aggregate("fragments", F.lit(0), lambda n, f: n + F.size(f))
     asked = asked.where(total >= min(fewest, FRAGMENT_WORDS))
     held = texts.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    near = held.join(seeds(asked, held), "word").select("quote", "id").distinct()
+    near = held.join(seeds(asked, held), "word").groupBy("quote", "id").agg(F.sum("times").alias("times"), F.first("need").alias("need")).where("times >= need").select("quote", "id")
     both = [words(F.col("text"), False).alias("plain"), words(F.col("text")).alias("full"), words(F.coalesce("heading", F.lit("")), False).alias("title")]
     pairs = near.join(asked, "quote").join(texts.select("id", *both), "id").select("quote", "id", "fragments", "plain", "full", "title")
     kinds = dict(near.dtypes)

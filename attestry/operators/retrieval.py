@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import spelled_out, tokens
+from ..functions.keys import ACRONYMS, spelled_out, tokens
 from ..functions.stem import stems
 
 
@@ -31,7 +31,8 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 
 def n_terms(words: Column) -> Column:
     """How many terms an array of tokens stands for."""
-    return F.aggregate(words, F.lit(0), lambda n, w: n + 1 + F.size(spelled_out(w)))
+    acronyms = F.filter(words, lambda w: w.isin(*ACRONYMS))
+    return F.size(words) + F.aggregate(acronyms, F.lit(0), lambda n, w: n + F.size(spelled_out(w)))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:

@@ -57,6 +57,18 @@ def lost_keys(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return before.select(key).join(after.select(key), key, "left_anti")
 
 
-def write_crosswalk(edges: DataFrame, path: str) -> None:
-    """Edges as JSON, one object for each anchor and framework."""
-    edges.groupBy("anchor_id", "framework").agg(F.sort_array(F.collect_set("requirement_id")).alias("requirement_ids")).write.mode("overwrite").json(path)
+def write_crosswalk(edges: DataFrame, path: str, allow_loss: bool = False) -> None:
+    """Edges as JSON, one object for each anchor and framework.
+
+    Raises ValueError, and leaves what stands at the path as it is, if an anchor that has edges to a framework there would have none, unless allow_loss."""
+    spark = edges.sparkSession
+    rows = edges.groupBy("anchor_id", "framework").agg(F.sort_array(F.collect_set("requirement_id")).alias("requirement_ids"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not allow_loss and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        key = F.struct("anchor_id", "framework").alias("key")
+        held = spark.read.schema("anchor_id string, framework string").json(path).select(key)
+        lost = lost_keys(held, edges.select(F.col("anchor_id").cast("string").alias("anchor_id"), F.col("framework").cast("string").alias("framework")).select(key), "key")
+        if not lost.isEmpty():
+            some = ", ".join(sorted(f"{r.key.anchor_id} -> {r.key.framework}" for r in lost.limit(5).collect()))
+            raise ValueError(f"{lost.count()} anchors would lose a framework's edges: {some}")
+    rows.write.mode("overwrite").json(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.operators import learning, params
-from attestry.sources import oscal
+from attestry.sources import catalogs, oscal
 
 
 def sources(spark, lines, **how):
@@ -135,3 +135,18 @@ def test_oscal_sorted_ids(read):
 def test_labels_of_ids(spark):
     rows = spark.createDataFrame([("ac-2",), ("ac-2.1",), ("ac-02.010",), ("x",)], "i string")
     assert [r.l for r in rows.select(oscal.label_of(F.col("i")).alias("l")).collect()] == ["AC-2", "AC-2(1)", "AC-2(10)", "X"]
+
+
+def test_a_crosswalk_is_not_overwritten_with_losses(spark, tmp_path):
+    shape, path = "anchor_id string, framework string, requirement_id string", str(tmp_path / "xw")
+    edges = spark.createDataFrame([("AC-1", "A", "r1"), ("AC-1", "A", "r2"), ("AC-2", "B", "r1")], shape)
+    catalogs.write_crosswalk(edges, path)
+    held = lambda: sorted((r.anchor_id, r.framework, r.requirement_ids) for r in spark.read.json(path).collect())
+    assert held() == [("AC-1", "A", ["r1", "r2"]), ("AC-2", "B", ["r1"])]
+    with pytest.raises(ValueError, match="1 anchors would lose a framework's edges: AC-2 -> B"):
+        catalogs.write_crosswalk(edges.where("framework = 'A'"), path)
+    assert len(held()) == 2
+    catalogs.write_crosswalk(edges.unionByName(spark.createDataFrame([("AC-3", "A", "r1")], shape)), path)
+    assert len(held()) == 3
+    catalogs.write_crosswalk(edges.where("framework = 'A'"), path, allow_loss=True)
+    assert held() == [("AC-1", "A", ["r1", "r2"])]

@@ -488,4 +488,4 @@ def stream_ledger(t):
     return windowed_calls(t.events)
 
 
-from . import catalogs, checks, citations, drifts, searches, selections  # noqa: E402, F401  (they add their queries to the same registry)
+from . import catalogs, checks, citations, deontics, drifts, searches, selections  # noqa: E402, F401  (they add their queries to the same registry)

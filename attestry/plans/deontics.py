@@ -1,10 +1,10 @@
-"""Statements, headings and strengths over marked-up copies of the documents."""
+"""Statements, headings and strengths over marked-up copies of the documents, and pages as text."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import deontic
+from ..operators import deontic, markup
 from .bindings import query
 
 # Each line is a list's item; by its number some of its words become phrases of strength, and every third line ends in a tag.
@@ -86,3 +86,31 @@ a AS (SELECT *, NOT regexp_matches(s, '(?i)^(what|how|why|when|which|who|whom|wh
 SELECT id, line, text, CASE WHEN NOT says THEN 'none' WHEN regexp_matches(s, '(?i)\\b(must|may|shall) not\\b') THEN 'prohibition' WHEN regexp_matches(regexp_replace(s, '(?i)\\b(is|are) required\\s+or\\b', '', 'g'), '(?i)\\b(must|shall|are required|is required)\\b') THEN 'obligation' WHEN regexp_matches(s, '(?i)\\bshould\\b') THEN 'recommendation' WHEN regexp_matches(s, '(?i)\\bmay\\b') THEN 'permission' ELSE 'none' END AS modality FROM a""")
 def dnt_headings(t):
     return deontic.analyzed(_headed(t)).where("heading").select("id", "line", "text", "modality")
+
+
+# What a page says is read off its markup by patterns: no word may be lost or added, and headings and items keep their number.
+_SAID = r"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '(?i)</?(a|b|strong|em|i|code|span)(\s[^>]*)?/?>', '', 'g'), '<[^>]*>', ' ', 'g')"
+_ENTITIES = {"&copy;": "©", "&middot;": "·", "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&amp;": "&"}
+_HELD = _SAID
+for _name, _char in _ENTITIES.items():
+    _HELD = f"replace({_HELD}, '{_name}', '{_char}')"
+
+
+@query(rf"""WITH w AS (SELECT page_id AS id, regexp_extract_all({_HELD}, '[\pL\pN]+') AS words, coalesce(html, '') AS html FROM pages)
+SELECT id, len(words) AS n_words, md5(array_to_string(words, ' ')) AS words_md5, len(regexp_extract_all(html, '(?is)<h[1-6](?:\s[^>]*)?>\s*[^<\s]')) AS n_headings, len(regexp_extract_all(html, '(?is)<li(?:\s[^>]*)?>')) AS n_items FROM w""")
+def htm_md(t):
+    text = markup.as_markdown(t.pages.select(F.col("page_id").alias("id"), "html"))
+    words = F.regexp_extract_all(F.regexp_replace("text", r"\]\([^)]*\)", "]"), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    lines = F.split("text", "\n")
+    count = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern))).cast("long")
+    return text.select("id", F.size(words).cast("long").alias("n_words"), F.md5(F.array_join(words, " ")).alias("words_md5"), count("^#{1,6} ").alias("n_headings"), count("^ *- ").alias("n_items"))
+
+
+# Links to a path stand for links to the page of that name; those to other hosts are people.
+@query(r"""WITH l AS (SELECT page_id AS id, regexp_extract_all(html, '<a href="/([^"]+)">', 1) AS f, regexp_extract_all(html, '<a href="(https?:[^"]+)">', 1) AS u FROM pages),
+x AS (SELECT id, unnest(f) AS title, generate_subscripts(f, 1) AS pos FROM l), y AS (SELECT id, title, min(pos) AS pos FROM x GROUP BY ALL)
+SELECT l.id, coalesce((SELECT string_agg(title, '|' ORDER BY pos) FROM y WHERE y.id = l.id), '') AS titles, array_to_string(list_sort(list_distinct(u)), '|') AS users FROM l WHERE f IS NOT NULL""")
+def htm_refs(t):
+    marked = F.regexp_replace(F.regexp_replace("html", '<a href="/([^"]+)">', '<ac:link><ri:page ri:space-key="S" ri:content-title="$1"/></ac:link><a>'), '<a href="(https?:[^"]+)">', '<ac:link><ri:user ri:account-id="$1"/></ac:link><a>')
+    x = t.pages.where("html is not null").select(F.col("page_id").alias("id"), marked.alias("html"))
+    return x.select("id", F.array_join(markup.references(F.col("html")), "|").alias("titles"), F.array_join(markup.user_ids(F.col("html")), "|").alias("users"))

@@ -81,3 +81,28 @@ def admitted(content: DataFrame, providers: DataFrame, ceilings: DataFrame) -> D
     place = lambda c: F.array_position(order, F.col(c))
     x = content.join(providers, "provider", "left").join(ceilings, "content", "left").withColumn("exposure", F.coalesce("exposure", F.lit("third-party")))
     return x.select(*content.columns, F.coalesce((place("exposure") > 0) & (place("exposure") <= place("ceiling")), F.lit(False)).alias("admitted"))
+
+
+def zero_reasons(requirements: DataFrame, reached: DataFrame, mapped: DataFrame, known: DataFrame) -> DataFrame:
+    """framework, kind, partial, unowned, unmapped and reason of each framework of requirements (framework, id) that nothing covers in full.
+
+    reached (framework, id, reach) holds what is owned in full or in part, mapped (framework, id) what a crosswalk names, and known (framework,
+    kind, reason) what was found out before: 'design', never to be mapped; 'upstream', published but not read; 'searched', none found. The
+    first of design and upstream is the kind; else 'mapped' where anything is reached in part or named by a crosswalk, with the three counts,
+    which add up to the framework's requirements; else 'searched' or 'none'. Counts of the other kinds are null."""
+    r = requirements.select("framework", "id").distinct()
+    reach = reached.groupBy("framework", "id").agg(F.max((F.col("reach") == "full").cast("int")).alias("full"))
+    named = mapped.select("framework", "id").distinct().withColumn("named", F.lit(True))
+    x = r.join(reach, ["framework", "id"], "left").join(named, ["framework", "id"], "left")
+    part, rest = F.col("full") == 0, F.col("full").isNull()
+    x = x.groupBy("framework").agg(
+        F.count_if(F.col("full") == 1).alias("covered"), F.count_if(part).alias("partial"), F.count_if(rest & F.col("named").isNotNull()).alias("unowned"), F.count_if(rest & F.col("named").isNull()).alias("unmapped")
+    )
+    said = known.groupBy("framework").agg(*(F.min(F.when(F.col("kind") == k, F.coalesce("reason", F.lit("")))).alias(k) for k in ("design", "upstream", "searched")))
+    x = x.where("covered = 0").join(mapped.select("framework").distinct().withColumn("any", F.lit(True)), "framework", "left").join(said, "framework", "left")
+    carried = (F.col("partial") > 0) | F.col("any").isNotNull()
+    kind = F.when(F.col("design").isNotNull(), "design").when(F.col("upstream").isNotNull(), "upstream").when(carried, "mapped").when(F.col("searched").isNotNull(), "searched").otherwise("none")
+    x = x.withColumn("kind", kind)
+    counts = (F.when(F.col("kind") == "mapped", F.col(c)).alias(c) for c in ("partial", "unowned", "unmapped"))
+    reason = F.when(F.col("kind") == "design", F.col("design")).when(F.col("kind") == "upstream", F.col("upstream")).when(F.col("kind") == "searched", F.col("searched"))
+    return x.select("framework", "kind", *counts, reason.alias("reason"))

@@ -10,10 +10,10 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .documents import TAG
+from .documents import TAG, tags
 
 BINDING = ("obligation", "prohibition")
 
@@ -58,6 +58,8 @@ _QUESTION = re.compile(rf"(?:{QUESTIONS})[:,]*(?!\S)", re.I)
 _TAG = re.compile(TAG)
 _LEADING_TAGS = re.compile(rf"(?:{TAG}[ \t\r\n.;:|]*)+")
 _STOP = re.compile(r"""(?<=[.!?])(?:\s+(?=["'\[(])|(?<!(?<![^\W\d_])[A-Z]\.)\s+(?=[A-Z]))""")
+_NUMBER = re.compile(r"\[(\d+)\]")
+_LEADING_NUMBERS = re.compile(r"(?:\[\d+\]\s*[.;:|]*)+")
 _ATX = re.compile(r"[ \t]{0,3}(?:>[ \t]?)*[ \t]{0,3}#{1,6}(?:[ \t]|$)")
 _ATX_MARKS = re.compile(r"^(?:> ?)*#{1,6} ?|(?:^| )#+$")
 _UNDERLINE = re.compile(r"[ \t]{0,3}(?:=+|-{2,})[ \t]*$")
@@ -336,6 +338,57 @@ def unsupported(statements: DataFrame) -> DataFrame:
     return statements.where(binds(F.col("modality")) & (F.size("citations") == 0))
 
 
-def claims(statements: DataFrame) -> DataFrame:
-    """(id, line, pos, citation) of what each binding statement cites, each tag once a statement."""
-    return statements.where(binds(F.col("modality"))).select("id", "line", "pos", F.explode(F.array_distinct("citations")).alias("citation"))
+def claims(statements: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, line, pos, citation) of what each binding statement of docs (id, body; ids unique) can be held against, each tag once.
+
+    A statement's tags are those on its lines: from the one it starts on to the one before the next statement's. Those of a heading are its own.
+    A line of tags finds the statements it belongs to by the last line before it on which one starts, so no statement meets a whole document."""
+    own = statements.where(binds(F.col("modality")) & F.col("heading")).select("id", "line", "pos", F.explode(F.array_distinct("citations")).alias("citation"))
+    starts = statements.where("not heading").select("id", "line", "pos", "modality", (F.col("pos") == F.max("pos").over(Window.partitionBy("id", "line"))).alias("closes"))
+    tagged = docs.select("id", F.posexplode(F.split("body", "\n")).alias("at", "text")).select("id", (F.col("at") + 1).cast("long").alias("at"), F.explode(F.array_distinct(tags(F.col("text")))).alias("citation"))
+    lines = tagged.unionByName(starts.select("id", F.col("line").alias("at")).distinct(), allowMissingColumns=True)
+    begun = F.max(F.when(F.col("citation").isNull(), F.col("at"))).over(Window.partitionBy("id").orderBy("at"))
+    held = lines.select("id", "at", "citation", begun.alias("line")).where("citation is not null")
+    met = starts.where(binds(F.col("modality"))).join(held, ["id", "line"]).where("closes or at = line").select("id", "line", "pos", "citation").distinct()
+    return met.unionByName(own)
+
+
+def bullets(synthesis: DataFrame) -> DataFrame:
+    """(id, line, text, tags) of the requirements that synthesis (id, body) states: each line that begins with a dash or star, whole, without the mark."""
+    x = synthesis.select("id", F.posexplode(F.split("body", r"\r?\n")).alias("line", "text"))
+    mark = F.regexp_extract("text", r"^\s*[-*]\s*(.*?)\s*$", 1)
+    return x.select("id", (F.col("line") + 1).cast("long").alias("line"), mark.alias("text"), tags(mark).alias("tags")).where("text <> ''")
+
+
+def _cited_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts, counts = batch.columns
+        for n in range(batch.num_rows):
+            rows = _cited(texts[n].as_py() or "", counts[n].as_py() or 0)
+            if rows:
+                columns = [ids.take(pa.array([n] * len(rows))), pa.array(range(len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "pos", "sentence", "cited"])
+
+
+def _cited(text: str, count: int) -> list[tuple[str, list[int]]]:
+    """The sentences with the passages they cite; numbers at a sentence's head belong to the one before."""
+    found, at = [], 0
+    for end in [m.end() for m in _STOP.finditer(text)] + [len(text)]:
+        sentence, at = text[at:end].strip(), end
+        head = _LEADING_NUMBERS.match(sentence)
+        if head:
+            if found:
+                found[-1][1].extend(_NUMBER.findall(head.group()))
+            sentence = sentence[head.end() :]
+        if sentence:
+            found.append((" ".join(_NUMBER.sub("", sentence).split()), _NUMBER.findall(sentence)))
+    known = [(s, [int(n) for n in dict.fromkeys(x.lstrip("0") for x in numbers) if n and len(n) < 10 and int(n) <= count]) for s, numbers in found]
+    return [(s, numbers) for s, numbers in known if s and numbers]
+
+
+def cited_sentences(answers: DataFrame) -> DataFrame:
+    """(id, pos, sentence, cited) of each sentence of answers (id, text, passages) that cites one of its passages, numbered from 1.
+
+    Marks such as [2] are taken out of the sentence; those behind its stop are its own. Numbers without a passage are left out."""
+    kind = answers.schema["id"].dataType.simpleString()
+    return answers.select("id", "text", F.col("passages").cast("long").alias("passages")).mapInArrow(_cited_batches, f"id {kind}, pos long, sentence string, cited array<bigint>")

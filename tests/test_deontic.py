@@ -134,5 +134,55 @@ def test_weakened_unsupported_and_claims(spark):
     assert firsts(deontic.weakened(s)) == ["Logs0", "NIST4", "NIST5"]
     assert firsts(deontic.weakened(s, ["NIST AI RMF Playbook"], ["NIST 800-53", "HIPAA Security Rule"])) == ["Logs0", "NIST5"]
     assert firsts(deontic.unsupported(s)) == ["Rooms3"]
-    assert {(r.pos, r.citation) for r in deontic.claims(s).collect()} == {(1, A), (1, B)}
-    assert deontic.claims(s).select(F.count("*")).first()[0] == 2
+
+
+def test_claims_take_the_tags_of_their_lines(spark):
+    body = f"One must go. Two shall stay.\n{A}\nfree line {B}\n\nThree must run. {B} Four may.\n{A}\n# Doors Must Close {A}\n\nlast"
+    docs = spark.createDataFrame([("d", body), ("e", f"Five must sit {B} {B}."), ("n", None)], "id string, body string")
+    s = deontic.analyzed(docs)
+    got = {(r.id, r.line, r.citation) for r in deontic.claims(s, docs).collect()}
+    assert [(r.pos, r.line) for r in s.where("id = 'd'").orderBy("pos").collect()] == [(0, 1), (1, 1), (2, 3), (3, 5), (4, 5), (5, 7), (6, 9)]
+    assert got == {("d", 1, A), ("d", 5, B), ("d", 7, A), ("e", 1, B)}
+    twos = {(r.pos, r.citation) for r in deontic.claims(s, docs).where("id = 'd'").collect()}
+    assert twos == {(1, A), (3, B), (5, A)}  # of two statements that start on a line, the later one holds the lines below
+
+
+def test_bullets(spark):
+    docs = spark.createDataFrame([(1, f"- Keep keys. Always. {A}\r\n  * doors {B} \ntext\n-\n-- x\n"), (2, None), (3, "")], "id int, body string")
+    got = [(r.id, r.line, r.text, r.tags) for r in deontic.bullets(docs).orderBy("id", "line").collect()]
+    assert got == [(1, 1, f"Keep keys. Always. {A}", [A]), (1, 2, f"doors {B}", [B]), (1, 5, "- x", [])]
+
+
+def test_cited_sentences(spark):
+    rows = [
+        (1, "Keys burn. [1] Doors [2] close [1][2]. Bells ring [9]. [3][03]; Rooms wait.", 3), (2, "[1] Alone. After [0].", 2), (3, None, 2), (4, "Nothing [1].", None), (5, "", 1),
+        (6, "The U.S. Department [1] asks. [2]", 2),
+    ]
+    got = [(r.id, r.pos, r.sentence, r.cited) for r in deontic.cited_sentences(spark.createDataFrame(rows, "id int, text string, passages int")).orderBy("id", "pos").collect()]
+    assert got == [(1, 0, "Keys burn.", [1]), (1, 1, "Doors close .", [2, 1]), (1, 2, "Bells ring .", [3]), (6, 0, "The U.S. Department asks.", [1, 2])]
+
+
+def test_document_citations(spark):
+    from attestry.operators import evidence
+
+    known = spark.createDataFrame([("NIST 800-53", "nist-800-53"), ("HIPAA Security Rule", "hipaa-security-rule"), ("HITRUST", "hitrust")], "name string, key string")
+    ids = spark.createDataFrame([("nist-800-53", "AC-2"), ("nist-800-53", "AC-3"), ("hipaa-security-rule", "164.308"), ("hitrust", "01.a Level 1")], "key string, id string")
+    body = "free [NIST 800-53 AC-2 Low | AC-3]\n## Keys [HITRUST 01.a Level 1 Extra | HIPAA 164.308]\ntext [NIST 800-53 ZZ-9 High] [Other 1.2]\n#### Doors\n[nope] [HITRUST 01.a Level 1]"
+    docs = spark.createDataFrame([("d", body), ("e", None), ("f", "none")], "id string, body string")
+    got = [(r.line, r.framework, r.key, r.id, r.qualifier, r.section) for r in evidence.document_citations(docs, known, ids).orderBy("line", "tag", "pos").collect()]
+    assert got == [
+        (1, "NIST 800-53", "nist-800-53", "AC-2", "Low", ""), (1, "NIST 800-53", "nist-800-53", "AC-3", "", ""), (2, "HITRUST", "hitrust", "01.a Level 1", "Extra", "Keys"),
+        (2, "HIPAA", "hipaa-security-rule", "164.308", "", "Keys"), (3, "NIST 800-53", "nist-800-53", "ZZ-9 High", "", "Keys"), (3, "Other", None, "1.2", "", "Keys"), (5, "HITRUST", "hitrust", "01.a Level 1", "", "Doors"),
+    ]
+
+
+def test_zero_reasons(spark):
+    from attestry.operators import coverage
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    need = frame([(f, i) for f in "abcdefg" for i in ("1", "2", "3")] + [("a", "1")], "framework string, id string")
+    reached = frame([("a", "1", "full"), ("a", "1", "partial"), ("b", "1", "partial"), ("c", "9", "full")], "framework string, id string, reach string")
+    mapped = frame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "3"), ("g", "8")], "framework string, id string")
+    known = frame([("b", "searched", "x"), ("d", "design", "never"), ("e", "upstream", None), ("f", "searched", "none there")], "framework string, kind string, reason string")
+    got = sorted((tuple(r) for r in coverage.zero_reasons(need, reached, mapped, known).collect()))
+    assert got == [("b", "mapped", 1, 1, 1, None), ("c", "mapped", 0, 1, 2, None), ("d", "design", None, None, None, "never"), ("e", "upstream", None, None, None, ""), ("f", "searched", None, None, None, "none there"), ("g", "mapped", 0, 0, 3, None)]

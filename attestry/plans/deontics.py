@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import deontic, markup
+from ..operators import coverage, deontic, evidence, markup
 from .bindings import query
+from .checks import _ANSWERS, _answers
 
 # Each line is a list's item; by its number some of its words become phrases of strength, and every third line ends in a tag.
 _SWAPS = {0: (" the ", " must "), 1: (" is ", " is required "), 2: (" and ", " may be visible "), 3: (" of ", " should "), 4: (" to ", " shall "), 5: (" in ", " in, where so, is required "), 6: (" and ", " may "), 7: (" on ", " no one is required or ")}
@@ -114,3 +115,67 @@ def htm_refs(t):
     marked = F.regexp_replace(F.regexp_replace("html", '<a href="/([^"]+)">', '<ac:link><ri:page ri:space-key="S" ri:content-title="$1"/></ac:link><a>'), '<a href="(https?:[^"]+)">', '<ac:link><ri:user ri:account-id="$1"/></ac:link><a>')
     x = t.pages.where("html is not null").select(F.col("page_id").alias("id"), marked.alias("html"))
     return x.select("id", F.array_join(markup.references(F.col("html")), "|").alias("titles"), F.array_join(markup.user_ids(F.col("html")), "|").alias("users"))
+
+
+@query(_STATEMENTS + r"SELECT id, line, trim(substr(s, 2)) AS text, array_to_string(regexp_extract_all(s, '\[NIST AC-\d+\]'), ' ') AS tags FROM b")
+def gnd_synthesis(t):
+    return deontic.bullets(_items(t)).select("id", "line", "text", F.array_join("tags", " ").alias("tags"))
+
+
+# Numbers at the head of a piece are the sentence's before it; there are three passages.
+@query(rf"""WITH a AS ({_ANSWERS}), h AS (SELECT id, regexp_replace(regexp_replace(text, '(^|[^\pL])([A-Z])\.(\s+[A-Z])', '\1\2' || chr(2) || '\3', 'g'), '(^|[^\pL])([A-Z])\.(\s+[A-Z])', '\1\2' || chr(2) || '\3', 'g') AS s FROM a),
+c AS (SELECT id, generate_subscripts(p, 1) AS k, unnest(p) AS p FROM (SELECT id, list_transform(string_split(regexp_replace(s, '([.!?])\s+(["''\[(A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(replace(x, chr(2), '.'))) AS p FROM h)),
+d AS (SELECT id, k, regexp_extract(p, '^(?:\[\d+\]\s*[.;:|]*)+') AS head, regexp_replace(p, '^(?:\[\d+\]\s*[.;:|]*)+', '') AS rest FROM c),
+e AS (SELECT id, k, rest, regexp_extract_all(rest, '\[(\d+)\]', 1) || coalesce(regexp_extract_all(lead(head) OVER (PARTITION BY id ORDER BY k), '\[(\d+)\]', 1), []) AS said FROM d),
+n AS (SELECT id, k, trim(regexp_replace(regexp_replace(rest, '\[\d+\]', '', 'g'), '\s+', ' ', 'g')) AS sentence, list_filter(list_transform(said, lambda x: CAST(x AS BIGINT)), lambda x: x BETWEEN 1 AND 3) AS cited FROM e)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS pos, sentence, (SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY spot) FROM (SELECT x, min(spot) AS spot FROM (SELECT unnest(cited) AS x, generate_subscripts(cited, 1) AS spot) GROUP BY x)) AS cited FROM n WHERE sentence <> '' AND len(cited) > 0""")
+def txt_cited_sent(t):
+    return deontic.cited_sentences(_answers(t).withColumn("passages", F.lit(3))).select("id", "pos", "sentence", F.array_join("cited", ",").alias("cited"))
+
+
+# Nations are catalogs and their suppliers' numbers the ids; by its number a line is a heading or ends in tags of several parts.
+_CITING = """WITH nations AS (SELECT n_nationkey, replace(n_name, '_', ' ') AS n_name FROM nation), l AS (SELECT doc_id AS id, n + 1 AS line, t[n + 1] AS l, n, (doc_id + n) % 25 AS nation, (doc_id * 7 + n) % 60 AS a FROM (SELECT *, unnest(range(len(t))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))),
+b AS (SELECT id, line, CASE n % 5 WHEN 0 THEN '## ' || substr(l, 1, 20) || ' [' || n_name || ' S-' || a || ']' WHEN 1 THEN l || ' [' || n_name || ' S-' || a || ' High | S-' || (a + 25) || ' Low]' WHEN 2 THEN l || ' [' || n_name || ' S-' || a || ' | Other 7.' || a || ' | 8]'
+  WHEN 3 THEN l || ' [' || upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) || ' S-' || a || ' Part 2] and [x ' || a || ']' ELSE l END AS s FROM l JOIN nations ON n_nationkey = nation),
+"""
+
+
+def _nations(t):
+    return t.nation.select("n_nationkey", F.replace("n_name", F.lit("_"), F.lit(" ")).alias("n_name"))
+
+
+def _citing(t):
+    x = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "l")).withColumn("a", ((F.col("doc_id") * 7 + F.col("n")) % 60).cast("long"))
+    x = x.join(F.broadcast(_nations(t).where("n_nationkey < 25")), (F.col("doc_id") + F.col("n")) % 25 == F.col("n_nationkey"))
+    s = F.expr("""case n % 5 when 0 then '## ' || substr(l, 1, 20) || ' [' || n_name || ' S-' || a || ']' when 1 then l || ' [' || n_name || ' S-' || a || ' High | S-' || (a + 25) || ' Low]'
+      when 2 then l || ' [' || n_name || ' S-' || a || ' | Other 7.' || a || ' | 8]' when 3 then l || ' [' || upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) || ' S-' || a || ' Part 2] and [x ' || a || ']' else l end""")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", s.alias("s")))), lambda r: r["s"]), "\n")
+    return x.groupBy(F.col("doc_id").alias("id")).agg(body.alias("body"))
+
+
+@query(_CITING + r"""k AS (SELECT n_name AS name, lower(replace(n_name, ' ', '-')) AS key FROM nations), i AS (SELECT DISTINCT lower(replace(n_name, ' ', '-')) AS key, 'S-' || s_suppkey AS sid FROM supplier JOIN nations ON s_nationkey = n_nationkey),
+g AS (SELECT id, line, s, last_value(CASE WHEN regexp_matches(s, '^\s*#{1,6}\s+\S') THEN trim(regexp_replace(regexp_replace(trim(s), '^#{1,6}\s+', ''), '\[[A-Z][^\]]*\]', '', 'g')) END IGNORE NULLS) OVER (PARTITION BY id ORDER BY line) AS section FROM b),
+t AS (SELECT id, line, coalesce(section, '') AS section, generate_subscripts(m, 1) - 1 AS tag, unnest(m) AS m FROM (SELECT *, regexp_extract_all(s, '\[([A-Z][^\]]*)\]', 1) AS m FROM g)),
+p AS (SELECT id, line, section, tag, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS part FROM (SELECT *, string_split(m, ' | ') AS p FROM t)),
+n AS (SELECT p.id, line, tag, pos, any_value(section) AS section, any_value(part) AS part, arg_max(name, length(name)) AS named FROM p LEFT JOIN k ON starts_with(lower(part), lower(name) || ' ') GROUP BY ALL),
+o AS (SELECT *, CASE WHEN named IS NOT NULL THEN substr(part, length(named) + 2) ELSE part END AS rest, last_value(named IGNORE NULLS) OVER (PARTITION BY id, line, tag ORDER BY pos) AS framework FROM n),
+r AS (SELECT id, line, tag, pos, section, CASE WHEN framework IS NULL THEN split_part(rest, ' ', 1) ELSE framework END AS framework, CASE WHEN framework IS NULL THEN substr(rest, length(split_part(rest, ' ', 1)) + 2) ELSE rest END AS rest FROM o),
+q AS (SELECT r.*, k.key FROM r LEFT JOIN k ON lower(k.name) = lower(framework)), h AS (SELECT q.id, line, tag, pos, arg_max(sid, length(sid)) AS held FROM q JOIN i ON i.key = q.key AND (rest = sid OR starts_with(rest, sid || ' ')) GROUP BY ALL)
+SELECT q.id AS doc, q.line, q.tag, q.pos, framework, key, coalesce(held, rest) AS id, CASE WHEN held IS NULL THEN '' ELSE ltrim(substr(rest, length(held) + 1)) END AS qualifier, section FROM q LEFT JOIN h ON h.id = q.id AND h.line = q.line AND h.tag = q.tag AND h.pos = q.pos WHERE rest <> ''""")
+def txt_citations(t):
+    key = F.lower(F.replace("n_name", F.lit(" "), F.lit("-")))
+    known = _nations(t).select(F.col("n_name").alias("name"), key.alias("key"))
+    ids = t.supplier.join(_nations(t), F.col("s_nationkey") == F.col("n_nationkey")).select(key.alias("key"), F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("id")).distinct()
+    return evidence.document_citations(_citing(t), known, ids)
+
+
+@query("""WITH r AS (SELECT DISTINCT p_type AS f, p_partkey AS id, p_size AS z, length(p_type) % 5 AS k FROM part),
+g AS (SELECT f, k, count(*) FILTER (WHERE z = 1) AS full_, count(*) FILTER (WHERE z IN (2, 3)) AS partial, count(*) FILTER (WHERE z BETWEEN 4 AND 9) AS unowned, count(*) FILTER (WHERE z > 9) AS unmapped FROM r GROUP BY ALL HAVING full_ = 0),
+m AS (SELECT *, CASE k WHEN 0 THEN 'design' WHEN 1 THEN 'upstream' ELSE CASE WHEN partial + unowned > 0 THEN 'mapped' WHEN k = 2 THEN 'searched' ELSE 'none' END END AS kind FROM g)
+SELECT f AS framework, kind, CASE WHEN kind = 'mapped' THEN partial END AS partial, CASE WHEN kind = 'mapped' THEN unowned END AS unowned, CASE WHEN kind = 'mapped' THEN unmapped END AS unmapped, CASE WHEN kind IN ('design', 'upstream', 'searched') THEN 'said of ' || f END AS reason FROM m""")
+def agg_zero_reason(t):
+    p = t.part.select(F.col("p_type").alias("framework"), F.col("p_partkey").cast("string").alias("id"), F.col("p_size").alias("z"))
+    reached = p.where("z <= 3").select("framework", "id", F.when(F.col("z") == 1, "full").otherwise("partial").alias("reach"))
+    kind = F.element_at(F.array(*map(F.lit, ("design", "upstream", "searched"))), F.length("framework") % 5 + 1)
+    known = p.where("length(framework) % 5 < 3").select("framework").distinct().select("framework", kind.alias("kind"), F.concat(F.lit("said of "), F.col("framework")).alias("reason"))
+    return coverage.zero_reasons(p, reached, p.where("z between 2 and 9"), known)

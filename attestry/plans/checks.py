@@ -16,11 +16,16 @@ _PASSAGES = """SELECT a.conv_id * 1000 + a.turn AS id, k AS n, b.text || CASE WH
   FROM conversations a, range(1, 4) r(k), benchmark b WHERE role = 'assistant' AND b.item_id = a.conv_id % 20 + k - 1"""
 
 
+def _capitals(text):
+    """text in capitals, letter by letter as SQL has them: ß is ẞ, and no letter becomes two."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, "ß", "ẞ"))), "")
+
+
 def _answers(t):
     c = t.conversations.where("role = 'assistant'").join(t.benchmark.select("item_id", F.col("text").alias("item")), F.col("item_id") == F.col("conv_id") % 20)
     even, shape, join = F.col("turn") % 2 == 0, F.col("conv_id") % 7, lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
     text = (
-        F.when(shape == 0, join(F.col("text"), " [1][2] and [4]")).when(shape == 1, join(F.col("text"), ' "', F.upper(F.substring("item", 3, 40)), '," [1]'))
+        F.when(shape == 0, join(F.col("text"), " [1][2] and [4]")).when(shape == 1, join(F.col("text"), ' "', _capitals(F.substring("item", 3, 40)), '," [1]'))
         .when(shape == 2, join("“never said in any passage at all” [3] ", F.col("text"))).when(shape == 3, join(F.col("text"), " Reviews are quarterly, every **30 days** and ANNUALLY [2]."))
         .when(shape == 4, join("The [Ticketing System] and [x] log it [1]", F.when(even, " (a placeholder)").otherwise(""))).when(shape == 5, F.when(even, " ").otherwise(F.col("text")))
         .otherwise(join(F.col("text"), ' as supporting content says [1] [3] "short"'))

@@ -23,6 +23,11 @@ def read(text):
         ("Doors are blue.", "none"),
         ("", "none"),
         ("Sign-off is required.", "obligation"),
+        ("Keys and doors, is required To.", "none"),
+        ("If so, staff is required To.", "obligation"),
+        ("So, is required to stay.", "obligation"),
+        ("Now, Is Required To Stay.", "obligation"),
+        ("NOW, ARE REQUIRED TO STAY.", "obligation"),
         ("No sign-off is required.", "none"),
         ("Nothing here is mandatory, they say.", "none"),
         ("Say what is required.", "none"),

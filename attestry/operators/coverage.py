@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 def claims_of(requirements: DataFrame, anchors: DataFrame) -> DataFrame:
     """(id, owner, direct): an anchor claims its id directly and the children of its id by inheritance.
 
-    requirements: id, parent (nullable); anchors: owner, anchor.  A direct claim beats an inherited one."""
-    direct = requirements.join(anchors, requirements.id == anchors.anchor).select("id", "owner", F.lit(True).alias("direct"))
-    inherited = requirements.where("parent is not null").join(anchors, F.col("parent") == F.col("anchor")).select("id", "owner", F.lit(False).alias("direct"))
-    claims = direct.unionByName(inherited).groupBy("id", "owner").agg(F.max("direct").alias("direct"))
-    owned = direct.select("id").distinct().withColumn("has_direct", F.lit(True))
-    return claims.join(owned, "id", "left").where("direct or has_direct is null").select("id", "owner", "direct")
+    requirements: id, parent (nullable); anchors: owner, anchor.  A direct claim beats an inherited one.
+
+    Ids without a direct claim are put to the set of their parents, and the owners of each set are found once. Claims are thus distinct as they
+    are made and aren't grouped afterwards, when there may be many more of them than ids."""
+    anchors = anchors.select("owner", "anchor").distinct()
+    direct = requirements.select("id").distinct().join(anchors, F.col("id") == F.col("anchor")).select("id", "owner", F.lit(True).alias("direct"))
+    rest = requirements.where("parent is not null").join(anchors.select(F.col("anchor").alias("id")), "id", "left_anti")
+    rest = rest.groupBy("id").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
+    owners = rest.select("parents").distinct().select("parents", F.explode("parents").alias("anchor")).join(anchors, "anchor").select("parents", "owner").distinct()
+    return direct.unionByName(rest.join(owners, "parents").select("id", "owner", F.lit(False).alias("direct")))
 
 
 def coverage(requirements: DataFrame, anchors: DataFrame) -> DataFrame:

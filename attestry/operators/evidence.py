@@ -76,15 +76,22 @@ def document_evidence(citations: DataFrame, index: DataFrame, crosswalk: DataFra
 
     cited: the index (framework, id) has it.  unknown: it hasn't.  reached: not cited, but the crosswalk (anchor_id,
     framework, id) leads there from a cited id of the framework anchor, via the least such one; its provenance is
-    that of accepted (framework, id, anchor_id, provenance), else published."""
+    that of accepted (framework, id, anchor_id, provenance), else published.
+
+    What the same anchors lead to is one class. The least cited anchor is found for each document and class, with those of the class that the
+    document cites itself; members then follow their class, so that what is reached, which may be documents times the crosswalk, is exchanged nowhere."""
     known = index.select("framework", "id").distinct().withColumn("known", F.lit(True))
     said = citations.groupBy("doc", "framework", "id").agg(F.count("*").alias("occurrences")).join(known, ["framework", "id"], "left")
     cited = said.where("known")
     none = F.lit(None).cast("string")
     own = said.select("doc", "framework", "id", F.when(F.col("known"), "cited").otherwise("unknown").alias("state"), "occurrences", none.alias("via"), none.alias("provenance"))
-    from_ = cited.where(F.col("framework") == anchor).select("doc", F.col("id").alias("anchor_id"))
-    reached = from_.join(crosswalk.select("anchor_id", "framework", "id"), "anchor_id").groupBy("doc", "framework", "id").agg(F.min("anchor_id").alias("via"))
-    reached = reached.join(cited, ["doc", "framework", "id"], "left_anti").join(accepted.select("framework", "id", F.col("anchor_id").alias("via"), "provenance"), ["framework", "id", "via"], "left")
+    members = crosswalk.where("framework is not null and id is not null").groupBy("framework", "id").agg(F.array_sort(F.collect_set("anchor_id")).alias("class"))
+    from_ = cited.where(F.col("framework") == anchor).select("doc", F.col("id").alias("via"))
+    least = members.select("class").distinct().select("class", F.explode("class").alias("via")).join(from_, "via").groupBy("doc", "class").agg(F.min("via").alias("via"))
+    held = cited.select("doc", "framework", "id").join(members, ["framework", "id"]).groupBy("doc", "class").agg(F.collect_set(F.struct("framework", "id")).alias("held"))
+    least = least.join(held, ["doc", "class"], "left")
+    targets = members.withColumn("via", F.explode("class")).join(accepted.select("framework", "id", F.col("anchor_id").alias("via"), "provenance"), ["framework", "id", "via"], "left")
+    reached = least.join(targets, ["class", "via"]).where(F.col("held").isNull() | ~F.array_contains("held", F.struct("framework", "id")))
     return own.unionByName(reached.select("doc", "framework", "id", F.lit("reached").alias("state"), F.lit(0).cast("long").alias("occurrences"), "via", F.coalesce("provenance", F.lit("published")).alias("provenance")))
 
 

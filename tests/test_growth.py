@@ -3,7 +3,7 @@
 import random
 import re
 
-from attestry.operators import coverage, drift, evidence, retrieval, sync
+from attestry.operators import coverage, drift, evidence, retrieval, search, sync
 
 
 def plan(df, kind="optimizedPlan"):
@@ -27,3 +27,17 @@ def test_control_matches_are_not_grouped(spark):
     got = retrieval.control_matches(queries, chunks)
     assert sorted(map(tuple, got.collect())) == [(1, 7, "AC-2(1)"), (1, 8, "AC-2"), (2, 7, "AC-2(1)")]
     assert not re.search(r"Aggregate \[query#\d+, id#\d+, control#\d+", plan(got))
+
+
+def test_document_evidence_is_not_grouped(spark):
+    cited = spark.createDataFrame([(1, "a", "1"), (1, "a", "2"), (1, "f", "x"), (2, "a", "2"), (2, "a", "2"), (3, "a", "9"), (3, "f", "?")], "doc int, framework string, id string")
+    index = spark.createDataFrame([("a", "1"), ("a", "2"), ("f", "x"), ("f", "y"), ("g", "x")], "framework string, id string")
+    walk = spark.createDataFrame([("1", "f", "x"), ("1", "f", "y"), ("2", "f", "y"), ("2", "f", "y"), ("2", "g", "x"), ("9", "g", "x")], "anchor_id string, framework string, id string")
+    accepted = spark.createDataFrame([("f", "y", "2", "reviewed"), ("g", "x", "1", "never")], "framework string, id string, anchor_id string, provenance string")
+    got = evidence.document_evidence(cited, index, walk, accepted, "a")
+    reached = [(r.doc, r.framework, r.id, r.via, r.provenance) for r in got.where("state = 'reached'").collect()]
+    assert sorted(reached) == [(1, "f", "y", "1", "published"), (1, "g", "x", "2", "published"), (2, "f", "y", "2", "reviewed"), (2, "g", "x", "2", "published")]
+    assert sorted((r.doc, r.framework, r.id, r.state, r.occurrences) for r in got.where("state <> 'reached'").collect()) == [
+        (1, "a", "1", "cited", 1), (1, "a", "2", "cited", 1), (1, "f", "x", "cited", 1), (2, "a", "2", "cited", 2), (3, "a", "9", "unknown", 1), (3, "f", "?", "unknown", 1),
+    ]
+    assert not re.search(r"Aggregate \[doc#\d+, framework#\d+, id#\d+\], \[[^\]]*min\(", plan(got))

@@ -34,10 +34,12 @@ def publish_plan(docs: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def fingerprints(old: DataFrame, new: DataFrame) -> DataFrame:
-    """name and change of prompts (name, hash): same, changed, removed, added, or renamed where the hash lives on under a new name."""
-    x = old.select("name", F.col("hash").alias("old")).join(new.select("name", F.col("hash").alias("new")), "name", "full_outer")
+    """name and change of prompts (name, hash): same, changed, removed, added, or renamed where the hash lives on under a new name.
+
+    The joins are merged, as both sides grow with the prompts; none is sent whole through the driver."""
+    x = old.select("name", F.col("hash").alias("old")).hint("merge").join(new.select("name", F.col("hash").alias("new")), "name", "full_outer")
     gone, fresh = x.where("new is null").select(F.col("old").alias("h")).distinct(), x.where("old is null").select(F.col("new").alias("h")).distinct()
-    both = gone.join(fresh, "h").withColumn("r", F.lit(True))
-    x = x.join(both, F.coalesce("old", "new") == F.col("h"), "left")
+    both = gone.hint("merge").join(fresh, "h").withColumn("r", F.lit(True))
+    x = x.join(both.hint("merge"), F.coalesce("old", "new") == F.col("h"), "left")
     what = F.when(F.col("r") & (F.col("old").isNull() | F.col("new").isNull()), "renamed").when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "same").otherwise("changed")
     return x.select("name", what.alias("what"))

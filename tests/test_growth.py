@@ -41,3 +41,11 @@ def test_document_evidence_is_not_grouped(spark):
         (1, "a", "1", "cited", 1), (1, "a", "2", "cited", 1), (1, "f", "x", "cited", 1), (2, "a", "2", "cited", 2), (3, "a", "9", "unknown", 1), (3, "f", "?", "unknown", 1),
     ]
     assert not re.search(r"Aggregate \[doc#\d+, framework#\d+, id#\d+\], \[[^\]]*min\(", plan(got))
+
+
+def test_fingerprints_send_nothing_through_the_driver(spark):
+    old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")], "name string, hash string")
+    new = spark.createDataFrame([("a", "1"), ("b", "9"), ("z", "3"), ("y", "8")], "name string, hash string")
+    got = sync.fingerprints(old, new)
+    assert sorted(map(tuple, got.collect())) == [("a", "same"), ("b", "changed"), ("c", "renamed"), ("d", "removed"), ("y", "added"), ("z", "renamed")]
+    assert "Broadcast" not in plan(got, "executedPlan")

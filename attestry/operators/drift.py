@@ -27,7 +27,7 @@ def diff(old: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
 def impact(changes: DataFrame, topics: DataFrame, documents: DataFrame, parameters: DataFrame) -> DataFrame:
     """What a change reaches: (id, what, name) from topics (anchor, name), documents (cited, name) and parameters (control_id, name)."""
     reach = [topics.select(F.col("anchor").alias("id"), F.lit("topic").alias("what"), "name"), documents.select(F.col("cited").alias("id"), F.lit("document").alias("what"), "name"), parameters.select(F.col("control_id").alias("id"), F.lit("parameter").alias("what"), "name")]
-    return changes.select("id").distinct().join(reach[0].unionByName(reach[1]).unionByName(reach[2]), "id").distinct()
+    return reach[0].unionByName(reach[1]).unionByName(reach[2]).join(changes.select("id"), "id", "left_semi").distinct()
 
 
 CONTROL_FIELDS = ("control_statement", "baseline", "enhancements", "parameters", "discussion", "title", "related_controls")

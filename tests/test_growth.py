@@ -51,6 +51,14 @@ def test_fingerprints_send_nothing_through_the_driver(spark):
     assert "Broadcast" not in plan(got, "executedPlan")
 
 
+def test_impact_meets_changes_without_copies(spark):
+    changes = spark.createDataFrame([("1",), ("1",), ("2",)], "id string")
+    rows = lambda key: spark.createDataFrame([("1", "n"), ("1", "n"), ("3", "n")], f"{key} string, name string")
+    got = drift.impact(changes, rows("anchor"), rows("cited"), rows("control_id"))
+    assert sorted(map(tuple, got.collect())) == [("1", "document", "n"), ("1", "parameter", "n"), ("1", "topic", "n")]
+    assert "Join LeftSemi" in plan(got) and "Join Inner" not in plan(got)
+
+
 def test_words_are_stemmed_where_they_lie(spark):
     texts = spark.createDataFrame([(1, "MFA doors, door DOORS authentication"), (1, "a door"), (2, None), (3, "")], "id int, text string")
     posts = retrieval.postings(texts)

@@ -101,11 +101,16 @@ def expansion_terms(reply: Column, most: int = 12) -> Column:
     words = lambda s: F.size(F.split(s, r"\s+"))
     space = r"[\s]"
     parts = F.transform(F.split(reply, "[,\n]"), lambda s: bare(bare(bare(bare(bare(s, space), "[-*•]"), space), '"'), space))
-    kept = F.filter(parts, lambda s: s != "")
-    short = F.filter(kept, lambda s: words(s) <= 4)
-    low = F.transform(short, F.lower)
-    terms = F.filter(short, lambda s, i: F.array_position(low, F.lower(s)) == i + 1)
-    return F.when((F.size(kept) - F.size(short)) * 2 >= F.size(kept), F.array().cast("array<string>")).otherwise(F.slice(terms, 1, most))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  (else each use, also for each element, evaluates the value again)
+
+    def first(short, low):
+        return F.transform(F.slice(F.array_distinct(low), 1, most), lambda w: F.get(short, F.array_position(low, w).cast("int") - 1))
+
+    def of(kept, short):
+        terms = once(F.transform(short, F.lower), lambda low: first(short, low))
+        return F.when((F.size(kept) - F.size(short)) * 2 >= F.size(kept), F.array().cast("array<string>")).otherwise(terms)
+
+    return once(F.filter(parts, lambda s: s != ""), lambda kept: once(F.filter(kept, lambda s: words(s) <= 4), lambda short: of(kept, short)))
 
 
 def packed(text: Column, most: int = 1500) -> Column:

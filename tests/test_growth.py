@@ -3,7 +3,9 @@
 import random
 import re
 
-from attestry.operators import coverage, drift, evidence, retrieval, search, sync
+from pyspark.sql import functions as F
+
+from attestry.operators import coverage, drift, evidence, retrieval, search, selection, sync
 
 
 def plan(df, kind="optimizedPlan"):
@@ -66,3 +68,10 @@ def test_words_are_stemmed_where_they_lie(spark):
     forms = search.surface_forms(texts.where("text <> 'a door'"))
     assert sorted(map(tuple, forms.collect())) == [(1, "authent", "authentication"), (1, "door", "doors"), (1, "mfa", "mfa")]
     assert "Join" not in plan(posts) and "Join" not in plan(forms)
+
+
+def test_expansion_terms_cut_a_reply_once(spark):
+    rows = [(1, 'Keys, "doors",keys\nKEYS, - a b c d\n'), (2, "one two three four five, x"), (3, None), (4, ""), (5, ",".join(f"W{k % 15},w{k % 15}" for k in range(40)))]
+    x = spark.createDataFrame(rows, "id int, text string").select("id", selection.expansion_terms(F.col("text")).alias("t"))
+    assert {r.id: r.t for r in x.collect()} == {1: ["Keys", "doors", "a b c d"], 2: [], 3: None, 4: [], 5: [f"W{k}" for k in range(12)]}
+    assert plan(x).count("[,") == 1

@@ -50,25 +50,31 @@ def document_citations(docs: DataFrame, known: DataFrame, ids: DataFrame) -> Dat
     """doc, line, tag, pos, framework, key, id, qualifier and section of each citation in docs (id, body; ids unique).
 
     A tag's parts stand between bars. A part that begins with no declared name, and whose first word points at no catalog, is of the framework
-    of the part before it. The section is the nearest heading above, or the heading that holds the tag, without its tags; '' above the first."""
+    of the part before it. The section is the nearest heading above, or the heading that holds the tag, without its tags; '' above the first.
+
+    What a tag cites is settled by its text, so each text is split once; only lines that are headings or hold tags are exchanged."""
     x = docs.select("id", F.posexplode(F.split("body", r"\r?\n")).alias("line", "text"))
     title = F.nullif(F.regexp_extract("text", r"^\s*#{1,6}\s+(.*?)\s*$", 1), F.lit(""))
-    above = F.last(F.trim(F.regexp_replace(title, TAG, "")), True).over(Window.partitionBy("id").orderBy("line"))
-    x = x.select("id", "line", above.alias("section"), tags(F.col("text")).alias("tags")).where("size(tags) > 0")
-    x = x.select("id", "line", "section", F.posexplode("tags").alias("tag", "t"))
-    x = x.select("id", "line", "tag", F.coalesce("section", F.lit("")).alias("section"), F.posexplode(F.split(F.regexp_replace("t", r"^\[|\]$", ""), r"\|")).alias("pos", "part"))
-    x = x.select(F.struct("id", "line", "tag", "pos").alias("seq"), "section", F.filter(F.split("part", r"\s+"), lambda w: w != "").alias("w")).where("size(w) > 0")
+    x = x.select("id", "line", F.trim(F.regexp_replace(title, TAG, "")).alias("title"), tags(F.col("text")).alias("tags")).where("title is not null or size(tags) > 0")
+    above = F.last("title", True).over(Window.partitionBy("id").orderBy("line"))
+    x = x.select("id", "line", F.coalesce(above, F.lit("")).alias("section"), "tags").select("id", "line", "section", F.posexplode("tags").alias("tag", "t"))
+    split = split_tags(x.select("t").distinct(), known, ids)
+    return x.join(split, "t").select(F.col("id").alias("doc"), (F.col("line") + 1).cast("long").alias("line"), F.col("tag").cast("long").alias("tag"), F.col("pos").cast("long").alias("pos"), "framework", "key", F.col("cited").alias("id"), "qualifier", "section")
+
+
+def split_tags(distinct: DataFrame, known: DataFrame, ids: DataFrame) -> DataFrame:
+    """t, pos, framework, key, cited and qualifier of the parts of distinct tags (t) that cite an id."""
+    x = distinct.select("t", F.posexplode(F.split(F.regexp_replace("t", r"^\[|\]$", ""), r"\|")).alias("pos", "part"))
+    x = x.select(F.struct("t", "pos").alias("seq"), F.filter(F.split("part", r"\s+"), lambda w: w != "").alias("w")).where("size(w) > 0")
     heads = x.where("size(w) > 1").select("seq", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda n: F.array_join(F.slice("w", 1, n), " "))).alias("said"))
     named = heads.withColumn("head", F.lower("said")).join(known.select(F.lower("name").alias("head")).distinct(), "head").groupBy("seq").agg(F.max_by("said", F.length("said")).alias("named"))
     first = F.get("w", F.lit(0))
     short = resolve_names(x.where("size(w) > 1").select(first.alias("written")), known).where("key is not null").select(F.col("written").alias("short"))
     x = x.join(named, "seq", "left").join(short, (first == F.col("short")) & (F.size("w") > 1), "left")
     own = F.coalesce("named", "short")
-    before = F.last(own, True).over(Window.partitionBy("seq.id", "seq.line", "seq.tag").orderBy("seq.pos"))
-    x = x.select("seq", "section", F.concat_ws(" ", F.when(own.isNull(), before), F.array_join("w", " ")).alias("part"))
-    split = split_citations(x.select("seq", "part"), known, ids).where("id <> ''")
-    split = split.join(x.select("seq", "section"), "seq")
-    return split.select(F.col("seq.id").alias("doc"), (F.col("seq.line") + 1).cast("long").alias("line"), F.col("seq.tag").cast("long").alias("tag"), F.col("seq.pos").cast("long").alias("pos"), "framework", "key", "id", "qualifier", "section")
+    before = F.last(own, True).over(Window.partitionBy("seq.t").orderBy("seq.pos"))
+    x = x.select("seq", F.concat_ws(" ", F.when(own.isNull(), before), F.array_join("w", " ")).alias("part"))
+    return split_citations(x, known, ids).where("id <> ''").select("seq.t", "seq.pos", "framework", "key", F.col("id").alias("cited"), "qualifier")
 
 
 def document_evidence(citations: DataFrame, index: DataFrame, crosswalk: DataFrame, accepted: DataFrame, anchor: str) -> DataFrame:

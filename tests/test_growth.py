@@ -102,3 +102,15 @@ def test_ranked_chunks_are_not_joined_with_terms(spark):
     assert sorted(map(tuple, got.select("query", "id", "score", "rank").collect())) == sorted(want)
     assert not re.search(r"Aggregate \[query#\d+, id#\d+", plan(got))
     assert got.where("false").count() == 0 and retrieval.bm25(chunks.where("false"), queries, 7).count() == 0 and retrieval.bm25(chunks, queries.where("false"), 7).count() == 0
+
+
+def test_each_text_of_a_tag_is_split_once(spark):
+    docs = [(k, f"# One\nsaid [ACME 1.2 High | 3] and [ACME 1.2 High | 3]\n\n## [ACME 9] Two\nagain [Beta {k % 2}.1]\nnothing") for k in range(20)]
+    known, ids = spark.createDataFrame([("ACME", "acme")], "name string, key string"), spark.createDataFrame([("acme", "1.2")], "key string, id string")
+    got = evidence.document_citations(spark.createDataFrame(docs, "id int, body string"), known, ids)
+    want = {(k, n, tag, pos, *rest) for k in range(20) for n, tag, pos, *rest in [
+        (2, 0, 0, "ACME", "acme", "1.2", "High", "One"), (2, 0, 1, "ACME", "acme", "3", "", "One"), (2, 1, 0, "ACME", "acme", "1.2", "High", "One"), (2, 1, 1, "ACME", "acme", "3", "", "One"),
+        (4, 0, 0, "ACME", "acme", "9", "", "Two"), (5, 0, 0, "Beta", None, f"{k % 2}.1", "", "Two"),
+    ]}
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert not re.search(r"Aggregate \[\w+#\d+\.?\w*\], \[[^\]]*max_by", plan(got)) or "named_struct(id" not in plan(got)

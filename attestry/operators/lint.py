@@ -43,17 +43,18 @@ def rule_hits(texts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return lines.select("id", F.explode(hit).alias("rule")).groupBy("id", "rule").agg(F.count("*").alias("lines"))
 
 
-# What addresses the reader of a text rather than its organisation, by rule.
+# What addresses the reader of a text rather than its organisation, by rule. The letters that a match can begin with are
+# looked at first, as a word's border by Unicode's letters costs far more at each place of a text.
 INJECTION_RULES = [
-    ("countermands earlier instructions", r"(?imdU)\b(?:ignore|disregard|forget|override|bypass|skip)\b[^.!?\n]{0,40}?\b(?:instruction|instructions|rule|rules|prompt|prompts|directive|directives|guideline|guidelines|constraint|constraints|everything above|all of the above|the above|prior|previous|preceding)\b"),
-    ("refers to the prompt or the model's own rules", r"(?imdU)\b(?:your\s+(?:system\s+)?(?:prompt|instructions|directives|persona)|(?:the|this|its)\s+system\s+prompt)\b"),
-    ("reassigns the reader's role", r"(?imdU)\b(?:you\s+are\s+(?:now|actually|really)|from\s+now\s+on|act\s+as\s+(?:a|an|the)\b|pretend\s+(?:to\s+be|that\s+you|you)|roleplay|role-play|behave\s+as\s+(?:a|an|if))\b"),
-    ("dictates what the reader should output", r"(?imdU)(?:^|(?<=[.!?]\s)|(?<=[.!?]\n)|\bplease\s+|\byou\s+(?:must|should|will)\s+)(?:reply|respond|answer|output|print|return|state|say|write|report)\s+(?:with|only|exactly|that|the\s+following|as\s+follows)\b"),
-    ("addresses the reader as a model or assistant", r"(?imdU)\b(?:you\s+are\s+(?:an?\s+)?(?:helpful\s+|honest\s+)*(?:ai|a\.i\.|language\s+model|llm|chatbot|chat\s+bot|assistant|copilot)|as\s+an?\s+(?:ai|language\s+model|llm|chatbot|assistant)\s*,\s*you|dear\s+(?:ai|assistant|model|chatbot))\b"),
-    ("asks for citations or grounding to be dropped", r"(?imdU)(?:^|(?<=[.!?:;]\s)|(?<=\n)|\byou\s+|\bplease\s+)(?:do\s+not|don't|never|no\s+need\s+to|stop)\s+(?:\w+\s+){0,2}(?:cite|citing|citation|citations|quote|quoting)\b"),
+    ("countermands earlier instructions", r"(?imdU)(?=[idfobs])\b(?:ignore|disregard|forget|override|bypass|skip)\b[^.!?\n]{0,40}?\b(?:instruction|instructions|rule|rules|prompt|prompts|directive|directives|guideline|guidelines|constraint|constraints|everything above|all of the above|the above|prior|previous|preceding)\b"),
+    ("refers to the prompt or the model's own rules", r"(?imdU)(?=[yti])\b(?:your\s+(?:system\s+)?(?:prompt|instructions|directives|persona)|(?:the|this|its)\s+system\s+prompt)\b"),
+    ("reassigns the reader's role", r"(?imdU)(?=[yfaprb])\b(?:you\s+are\s+(?:now|actually|really)|from\s+now\s+on|act\s+as\s+(?:a|an|the)\b|pretend\s+(?:to\s+be|that\s+you|you)|roleplay|role-play|behave\s+as\s+(?:a|an|if))\b"),
+    ("dictates what the reader should output", r"(?imdU)(?=[raopswy])(?:^|(?<=[.!?]\s)|(?<=[.!?]\n)|\bplease\s+|\byou\s+(?:must|should|will)\s+)(?:reply|respond|answer|output|print|return|state|say|write|report)\s+(?:with|only|exactly|that|the\s+following|as\s+follows)\b"),
+    ("addresses the reader as a model or assistant", r"(?imdU)(?=[yad])\b(?:you\s+are\s+(?:an?\s+)?(?:helpful\s+|honest\s+)*(?:ai|a\.i\.|language\s+model|llm|chatbot|chat\s+bot|assistant|copilot)|as\s+an?\s+(?:ai|language\s+model|llm|chatbot|assistant)\s*,\s*you|dear\s+(?:ai|assistant|model|chatbot))\b"),
+    ("asks for citations or grounding to be dropped", r"(?imdU)(?=[dnsyp])(?:^|(?<=[.!?:;]\s)|(?<=\n)|\byou\s+|\bplease\s+)(?:do\s+not|don't|never|no\s+need\s+to|stop)\s+(?:\w+\s+){0,2}(?:cite|citing|citation|citations|quote|quoting)\b"),
     ("claims to speak for the operator", r"(?imdU)^[ \t>*_-]*(?:revised|updated|new|additional|amended|replacement)\s+(?:operator\s+)?instructions?\s*:"),
-    ("contains the refusal sentinel", r"(?dU)\bINSUFFICIENT_CONTEXT\b"),
-    ("imitates this system's fence markers", r"(?dU)\b(?:BEGIN|END)\s+pf-[0-9A-Za-z]+\b"),
+    ("contains the refusal sentinel", r"(?dU)(?=I)\bINSUFFICIENT_CONTEXT\b"),
+    ("imitates this system's fence markers", r"(?dU)(?=[BE])\b(?:BEGIN|END)\s+pf-[0-9A-Za-z]+\b"),
 ]
 
 

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from attestry.operators import coverage, drift, evidence, retrieval, search, selection, sync
+from attestry.operators import coverage, deontic, drift, evidence, lint, retrieval, search, selection, sync
 
 
 def plan(df, kind="optimizedPlan"):
@@ -114,3 +114,20 @@ def test_each_text_of_a_tag_is_split_once(spark):
     ]}
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert not re.search(r"Aggregate \[\w+#\d+\.?\w*\], \[[^\]]*max_by", plan(got)) or "named_struct(id" not in plan(got)
+
+
+def test_rules_and_phrases_look_at_first_letters(spark):
+    plain = [re.sub(r"^(\(\?\w+\))\(\?=\[?\w+\]?\)", r"\1", p) for _, p in lint.INJECTION_RULES]
+    assert sum(p != q for p, (_, q) in zip(plain, lint.INJECTION_RULES, strict=True)) == 8  # all but the one that is bound to a line's start
+    said = "ignore İgnore ıgnore ſkip Skip the rules your ſystem prompt its THE system persona instructions you are now an from on act as a pretend to be \n . ! please reply Äsay with only exactly do not never cite dear model INSUFFICIENT_CONTEXT BEGIN END pf-1 new instructions:".split(" ")
+    rng = random.Random(5)
+    texts = spark.createDataFrame([(k, " ".join(rng.choices(said, k=40))) for k in range(1500)], "id int, text string").cache()
+    rules = [(str(n), p) for n, (_, p) in enumerate(lint.INJECTION_RULES)]
+    got, want = (sorted(map(tuple, lint.injections(texts, r).collect())) for r in (rules, list(zip(map(str, range(9)), plain, strict=True))))
+    assert got == want and len({g[1] for g in got}) == 9
+    slow = re.compile(deontic._MODAL.pattern.removeprefix("(?=[mswioca])"), re.I)
+    words = "must MAY ſhould shall ıs İs is not allowed permitted are required To to at the discretion of optional can elect will be ought".split()
+    assert deontic._MODAL.pattern != slow.pattern
+    for _ in range(3000):
+        x = " ".join(rng.choices(words, k=12))
+        assert [(m.span(), m.lastgroup) for m in deontic._MODAL.finditer(x)] == [(m.span(), m.lastgroup) for m in slow.finditer(x)]

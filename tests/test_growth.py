@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from attestry.operators import coverage, deontic, drift, evidence, lint, retrieval, search, selection, sync
+from attestry.operators import coverage, deontic, drift, evidence, grounding, lint, retrieval, search, selection, sync
 
 
 def plan(df, kind="optimizedPlan"):
@@ -131,3 +131,29 @@ def test_rules_and_phrases_look_at_first_letters(spark):
     for _ in range(3000):
         x = " ".join(rng.choices(words, k=12))
         assert [(m.span(), m.lastgroup) for m in deontic._MODAL.finditer(x)] == [(m.span(), m.lastgroup) for m in slow.finditer(x)]
+
+
+def test_windows_without_rare_words_are_not_aligned():
+    class Counted(list):
+        windows = 0
+
+        def __getitem__(self, k):
+            self.windows += isinstance(k, slice)
+            return super().__getitem__(k)
+
+    rng = random.Random(5)
+    own = b"the keeper of a reliquary and the warden in the lighthouse is to be by on observatory".split()
+    common = b"the of a and in is to be by on".split()
+    tokens = Counted(rng.choices(common, k=4000) + own[:4] + [b"or"] + own[5:] + rng.choices(common, k=4000))
+    assert grounding.Fragment(own).end(tokens, 0) == 4000 + len(own)
+    assert grounding.Fragment(own).end(tokens, 4010) is None
+    assert 0 < tokens.windows < 100
+
+
+def test_texts_are_cut_into_words_once_and_again_for_candidates(spark):
+    quotes = spark.createDataFrame([(1, "access is reviewed each quarter"), (2, "none of this is there"), (3, None)], "quote int, text string")
+    texts = [(str(k), f"Word{k} Access [Selection: x] is \u00e4reviewed, each \u212aquarter" if k % 2 else f"word{k} access is\u00e9 REVIEWED; each quarter") for k in range(40)] + [("x", None), ("x", "access is reviewed each quarter"), (None, "access is reviewed each quarter")]
+    got = grounding.grounded(quotes, spark.createDataFrame([(*t, None) for t in texts], "id string, text string, heading string"))
+    assert sorted(map(tuple, got.collect())) == sorted([(1, str(k)) for k in range(0, 40, 2)] + [(1, "x")])
+    final = plan(got, "executedPlan").split("== Initial Plan ==")[0]
+    assert final.count("MapInArrow") == 2 and "array_distinct" not in final

@@ -77,7 +77,7 @@ def split_tags(distinct: DataFrame, known: DataFrame, ids: DataFrame) -> DataFra
     return split_citations(x, known, ids).where("id <> ''").select("seq.t", "seq.pos", "framework", "key", F.col("id").alias("cited"), "qualifier")
 
 
-def document_evidence(citations: DataFrame, index: DataFrame, crosswalk: DataFrame, accepted: DataFrame, anchor: str) -> DataFrame:
+def document_evidence(citations: DataFrame, index: DataFrame, crosswalk: DataFrame, accepted: DataFrame, anchor: str, block: int = 4096, pieces: int = 256) -> DataFrame:
     """doc, framework, id, state, occurrences, via and provenance of citations (doc, framework, id).
 
     cited: the index (framework, id) has it.  unknown: it hasn't.  reached: not cited, but the crosswalk (anchor_id,
@@ -85,7 +85,10 @@ def document_evidence(citations: DataFrame, index: DataFrame, crosswalk: DataFra
     that of accepted (framework, id, anchor_id, provenance), else published.
 
     What the same anchors lead to is one class. The least cited anchor is found for each document and class, with those of the class that the
-    document cites itself; members then follow their class, so that what is reached, which may be documents times the crosswalk, is exchanged nowhere."""
+    document cites itself; members then follow their class, so that what is reached, which may be documents times the crosswalk, is exchanged nowhere.
+
+    There may be few classes: documents and members of a class are dealt into blocks of about block by a hash, and each meeting of two blocks into
+    one of pieces partitions, or of spark.sql.shuffle.partitions if that is more. Members come as lists, which are read off for each document."""
     known = index.select("framework", "id").distinct().withColumn("known", F.lit(True))
     said = citations.groupBy("doc", "framework", "id").agg(F.count("*").alias("occurrences")).join(known, ["framework", "id"], "left")
     cited = said.where("known")
@@ -97,8 +100,25 @@ def document_evidence(citations: DataFrame, index: DataFrame, crosswalk: DataFra
     held = cited.select("doc", "framework", "id").join(members, ["framework", "id"]).groupBy("doc", "class").agg(F.collect_set(F.struct("framework", "id")).alias("held"))
     least = least.join(held, ["doc", "class"], "left")
     targets = members.withColumn("via", F.explode("class")).join(accepted.select("framework", "id", F.col("anchor_id").alias("via"), "provenance"), ["framework", "id", "via"], "left")
-    reached = least.join(targets, ["class", "via"]).where(F.col("held").isNull() | ~F.array_contains("held", F.struct("framework", "id")))
-    return own.unionByName(reached.select("doc", "framework", "id", F.lit("reached").alias("state"), F.lit(0).cast("long").alias("occurrences"), "via", F.coalesce("provenance", F.lit("published")).alias("provenance")))
+    reached = _met(least, targets.select("class", "via", "framework", "id", F.coalesce("provenance", F.lit("published")).alias("provenance")), block, pieces)
+    reached = reached.where(F.col("held").isNull() | ~F.array_contains("held", F.struct("member.framework", "member.id")))
+    return own.unionByName(reached.select("doc", "member.framework", "member.id", F.lit("reached").alias("state"), F.lit(0).cast("long").alias("occurrences"), "via", "member.provenance"))
+
+
+def _met(least: DataFrame, targets: DataFrame, block: int, pieces: int) -> DataFrame:
+    """doc, held, via and member, a struct, of least (class, via, doc, held) and targets (class, via, framework, id, provenance) of the same class and via."""
+    keys = ["class", "via"]
+    blocks = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias(name))
+    sizes = blocks(least, "nd").join(blocks(targets, "nm"), keys)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n))
+    pieces = max(pieces, int(least.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    meeting = [*keys, "d", "m"]
+    docs = least.join(sizes, keys).select(*keys, "doc", "held", dealt("nd", "doc").alias("d"), every("nm").alias("m"))
+    members = targets.join(sizes, keys).select(*keys, "nd", dealt("nm", "framework", "id").alias("m"), F.struct("framework", "id", "provenance").alias("member"))
+    members = members.groupBy(*keys, "nd", "m").agg(F.collect_list("member").alias("members")).select(*keys, "m", "members", every("nd").alias("d"))
+    met = docs.repartition(pieces, *meeting).join(members.repartition(pieces, *meeting).hint("merge"), meeting)  # small lists aren't sent to the driver either
+    return met.select("doc", "held", "via", F.explode("members").alias("member"))
 
 
 def anchors_not_cited(documents: DataFrame, topics: DataFrame, cited: DataFrame) -> DataFrame:

@@ -47,6 +47,30 @@ def test_document_evidence_is_not_grouped(spark):
     assert not re.search(r"Aggregate \[doc#\d+, framework#\d+, id#\d+\], \[[^\]]*min\(", plan(got))
 
 
+def test_document_evidence_of_one_class_is_dealt_out(spark):
+    rng = random.Random(2)
+    names, anchors = [(f, str(i)) for f in "fg" for i in range(60)], "1 2 3".split()
+    cited = [(d, "a", a) for d in range(300) for a in anchors if rng.random() < 0.8] + [(d, *rng.choice(names)) for d in range(300) for _ in range(d % 4)] + [(None, "a", "2"), (7, "f", None)]
+    walk = [(a, *n) for n in names for a in (anchors if n[0] == "f" else ["1"])] + [("3", "h", "solo"), (None, "h", "none")]
+    accepted = [("f", str(i), "2", "reviewed") for i in range(0, 60, 7)]
+    index = {("a", a) for a in anchors} | {n for n in names if n[1] != "13"}
+    has = collections.defaultdict(set)
+    for d, *n in cited:
+        has[d].add(tuple(n))
+    want = []
+    for d, own in has.items():
+        for n in {w[1:] for w in walk}:
+            via = min((a for a, *m in walk if tuple(m) == n and ("a", a) in own), default=None)
+            if via and (d is None or not (n in own and n in index)):
+                want.append((d, *n, via, "reviewed" if (*n, via, "reviewed") in accepted else "published"))
+    frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    given = frame(cited, "doc int, framework string, id string"), frame(index, "framework string, id string"), frame(walk, "anchor_id string, framework string, id string")
+    got = evidence.document_evidence(*given, frame(accepted, "framework string, id string, anchor_id string, provenance string"), "a", block=16, pieces=32).where("state = 'reached'")
+    rows = got.select("doc", "framework", "id", "via", "provenance", F.spark_partition_id()).collect()
+    assert sorted(map(repr, (tuple(r)[:-1] for r in rows))) == sorted(map(repr, want))
+    assert max(collections.Counter(r[-1] for r in rows).values()) < len(rows) / 8
+
+
 def test_fingerprints_send_nothing_through_the_driver(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")], "name string, hash string")
     new = spark.createDataFrame([("a", "1"), ("b", "9"), ("z", "3"), ("y", "8")], "name string, hash string")
